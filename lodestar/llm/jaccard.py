@@ -1,10 +1,9 @@
 """N-gram Jaccard join: documents whose word shingles overlap enough, and their linked groups.
 
-1. Classes. Documents with equal shingle sets are one class: a hash of the set, found in one scan.
+1. Classes. Documents with equal shingle sets are one class: a hash of the set, found in one scan, together with a sketch of the set: how many tokens fall into each of some hash bins.
 2. Candidates, without loss. Sets are put into size bands. In a band, tokens are dealt by hash into so many parts that two sets which link must agree in more parts than either leaves out: sets of at most U tokens with Jaccard similarity num/den or more differ in at most d = 2U(den-num)/(den+num) tokens, so of d + 1 + e parts they agree in at least e + 1. A set leaves out its sparsest parts, e at most, by a bound on their
-   size that keeps all parts as full; the fullest part in which two sets agree is then kept by both. A key is a part's content. A set near its band's end is also dealt by the next band's rule, so pairs across two bands meet too.
-   Each task merges its equal keys before the shuffle: of the classes under one key only the smallest goes on, with an edge from each other class to it. So a key costs one entry a task, however many classes it has.
-   Edges between classes under one key form the candidate groups.
+   size that keeps all parts as full; the fullest part in which two sets agree is then kept by both. A key is a part's content. A set near its band's end is also dealt by the next band's rule, so pairs across two bands meet too. Keys are packed into arrays, a row for each bucket of keys and task.
+   The classes under one key are a block; blocks with the same classes are one. In a block, two sets whose sketches differ by more than linked sets can differ are no candidates; the rest is joined from class to class, each looked at once against those not reached yet. So a passage that many documents share makes no candidates of them.
 3. Links. Each candidate group's texts (one per class) come together; a signature tree finds the pairs that link. A group too large for one task is dealt into chunks, each pair of chunks is one task, and what they link is merged.
 """
 
@@ -24,7 +23,9 @@ from .signature_tree import SignatureTree
 from .wordhash import mix, windows, words
 
 #: Keys that one bucket of the key table is meant to hold.
-BUCKET_KEYS = 1 << 20
+BUCKET_KEYS = 1 << 22
+#: Keys that a task packs at once, and rows of blocks that a task looks at together, as meant.
+EMIT_KEYS, BLOCK_ROWS = 1 << 21, 1 << 17
 #: A candidate group of more texts or bytes is dealt into chunks.
 GROUP_TEXTS, GROUP_BYTES = 8192, 48 << 20
 #: Ids that are broadcast at most (8 bytes each); beyond, texts are found by a shuffled join.
@@ -76,42 +77,70 @@ def keys_of(s: np.ndarray, num: int, den: int) -> list[np.ndarray]:
     return out
 
 
-def _merge(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys with their smallest class, and edges (class, smallest class) for the others."""
-    order = np.lexsort((classes, keys))
-    keys, classes = keys[order], classes[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    least = classes[first][np.cumsum(first) - 1]
-    other = classes != least
-    edges = np.unique(np.stack([classes[other], least[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return keys[first], classes[first], edges[:, 0], edges[:, 1]
+def sketch_of(s: np.ndarray) -> bytes:
+    """How many tokens fall into each bin, 255 at most; a power of two of bins, about an eighth of the tokens. Halving a sketch adds its halves."""
+    bins = 32
+    while bins < min(4096, 0.1 * len(s)):
+        bins *= 2
+    return np.minimum(np.bincount(((s >> np.uint64(40)) & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def _halved(v: np.ndarray, bins: int) -> np.ndarray:
+    return v.reshape(-1, bins).sum(0)
+
+
+def _apart(v: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the others can't link with i: sets differ by no less than their sketches do."""
+    out = np.empty(len(others), bool)
+    step = max(1, (1 << 22) // v.shape[1])
+    for a in range(0, len(others), step):
+        o = others[a : a + step]
+        out[a : a + step] = (np.abs(v[o] - v[i]).sum(1) * (den + num) > (den - num) * (n[o] + n[i])) | (den * np.minimum(n[o], n[i]) < num * np.maximum(n[o], n[i]))
+    return out
+
+
+def _block_edges(classes: np.ndarray, n: np.ndarray, sketches: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Edges that join the classes of a block which their sketches let link, directly or over others."""
+    bins = min(map(len, sketches))
+    v = np.stack([_halved(np.frombuffer(x, np.uint8).astype(np.int32), bins) for x in sketches])
+    v = np.minimum(v, 255)
+    left, out = np.arange(len(classes)), []
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            i = front.pop()
+            apart = _apart(v, n, i, left, num, den)
+            reached, left = left[~apart], left[apart]
+            out += [(int(classes[i]), int(classes[k])) for k in reached]
+            front += reached.tolist()
+    return out
 
 
 def document_classes(df: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, cls, n_bytes) of each row; cls is null for a set without shingles."""
+    """(doc_id, n_shingles, cls, n_bytes, sketch) of each row; cls and sketch are null for a set without shingles."""
     bounded_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
             texts = [x.as_py() for x in batch.column(1).cast(pa.binary())]
             sets = [s for some in by_bytes(texts) for s in sets_of(some, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(map(len, texts), pa.int64())], names=["doc_id", "n_shingles", "cls", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "cls", "n_bytes", "sketch"])
 
-    return text_of(df, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, cls long, n_bytes long")
+    return text_of(df, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, cls long, n_bytes long, sketch binary")
 
 
-def candidate_edges(df: DataFrame, n: int, num: int, den: int, buckets: int, text_col: str = "text") -> DataFrame:
-    """Edges (a, b) between classes that have a key in common: enough to connect all that share it."""
+def blocks_of(df: DataFrame, n: int, num: int, den: int, buckets: int, text_col: str = "text") -> DataFrame:
+    """(block, cls): the classes that have a key in common, a block for each different list of classes."""
     shift = np.uint64(64 - (buckets - 1).bit_length()) if buckets > 1 else None
-    names = ["bucket", "keys", "classes", "a", "b"]
 
     def packed(keys, classes):
-        keys, classes, a, b = _merge(np.concatenate(keys), np.concatenate(classes))
+        keys, classes = np.concatenate(keys), np.concatenate(classes)
+        order = np.argsort(keys, kind="stable")
+        keys, classes = keys[order], classes[order]
         where = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=np.uint64)) if shift is not None else np.array([0, len(keys)])
-        cut = np.linspace(0, len(a), buckets + 1).astype(int)
-        some = [k for k in range(buckets) if where[k + 1] > where[k] or cut[k + 1] > cut[k]]
-        slices = lambda x, at, kind: pa.array([x[at[k] : at[k + 1]].astype(kind).tobytes() for k in some], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), slices(keys, where, "<u4"), slices(classes, where, "<i8"), slices(a, cut, "<i8"), slices(b, cut, "<i8")], names=names)
+        some = [k for k in range(buckets) if where[k + 1] > where[k]]
+        slices = lambda x, kind: pa.array([x[where[k] : where[k + 1]].astype(kind).tobytes() for k in some], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), slices(keys, "<u4"), slices(classes, "<i8")], names=["bucket", "keys", "classes"])
 
     def emit(batches):
         keys, classes, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
@@ -126,20 +155,49 @@ def candidate_edges(df: DataFrame, n: int, num: int, den: int, buckets: int, tex
                             keys.append(k)
                             classes.append(np.full(len(k), c, np.int64))
                             held += len(k)
-                if held > 2 * BUCKET_KEYS:
+                if held > EMIT_KEYS:
                     yield packed(keys, classes)
                     keys, classes, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
         yield packed(keys, classes)
 
     def meet(group: pa.Table) -> pa.Table:
-        # keys of one bucket differ in what is left of their low 32 bits
+        # keys of one bucket differ in what is left of their low 32 bits; two keys that don't only put more classes into one block
         read = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in group.column(name)])
-        *_, a, b = _merge(read("keys", "<u4"), read("classes", "<i8"))
-        both = np.unique(np.stack([np.concatenate([a, read("a", "<i8")]), np.concatenate([b, read("b", "<i8")])], 1), axis=0)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+        keys, classes = read("keys", "<u4"), read("classes", "<i8")
+        order = np.lexsort((classes, keys))
+        keys, classes = keys[order], classes[order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])]) if len(keys) else np.zeros(0, bool)
+        keys, classes = keys[new], classes[new]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(keys)))
+        first, size = first[size > 1], size[size > 1]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(classes.view(np.uint64)), dtype=np.uint64)])
+        name, at = np.unique(mix(sums[first + size] - sums[first] + size.astype(np.uint64)), return_index=True)
+        first, size = first[at], size[at]
+        member = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
+        return pa.table({"block": pa.array(np.repeat(name.view(np.int64), size), pa.int64()), "cls": pa.array(classes[member], pa.int64())})
 
     rows = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(emit, "bucket int, keys binary, classes binary, a binary, b binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return rows.mapInArrow(emit, "bucket int, keys binary, classes binary").groupBy("bucket").applyInArrow(meet, "block long, cls long").distinct()
+
+
+def candidate_edges(blocks: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that join the classes of each block which may link; classes has (cls, n_shingles, sketch)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        block, cls, size, sketch = group.column("block").to_numpy(), group.column("cls").to_numpy(), group.column("n_shingles").to_numpy(), group.column("sketch")
+        order = np.argsort(block, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(block[order])) + 1, len(order))
+        out, a = set(), 0
+        for b in ends.tolist():
+            mine = order[a:b]
+            out.update(_block_edges(cls[mine], size[mine], [sketch[int(k)].as_py() for k in mine], num, den))
+            a = b
+        pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    tasks = max(8, -(-blocks.count() // BLOCK_ROWS) * 4)
+    return blocks.join(classes, "cls").withColumn("task", F.pmod("block", F.lit(tasks))).groupBy("task").applyInArrow(run, "a long, b long")
 
 
 def _verify(n: int, num: int, den: int):
@@ -168,8 +226,9 @@ def linked_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     buckets = 8
     while buckets < min(1 << 22, 0.3 * shingles / BUCKET_KEYS):
         buckets *= 2
-    near = components(candidate_edges(df, n, num, den, buckets, text_col))
-    classes = docs.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_bytes").alias("n_bytes"))
+    classes = docs.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_bytes").alias("n_bytes"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+    blocks = written(blocks_of(df, n, num, den, buckets, text_col), "blocks")
+    near = components(candidate_edges(blocks, classes.select("cls", "n_shingles", "sketch"), num, den))
     members = near.join(classes, near["v"] == classes["cls"]).select("root", "cls", "rep", "n_bytes")
     members = written(members, "members")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / group_texts), F.ceil(F.sum("n_bytes") / group_bytes)).cast("int").alias("chunks"))
