@@ -13,7 +13,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     In each round a vertex takes the smallest label of its neighbours and then that label's own label, so labels run together in a number of rounds that grows with the logarithm of a component's width. Each round is a written table. Labels and edges stay distributed; only the sum of the labels comes to the driver.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")  # read twice below: both readings must see the same edges
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both, "edges")
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
     total = lambda t: t.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
