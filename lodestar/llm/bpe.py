@@ -10,11 +10,12 @@ go on from the same state: every pair of neighbouring tokens is then one that an
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, by_bytes, table, text_of
+from .common import bounded_batches, by_bytes, table, text_of, thrifty
 from .lexicon import LONG, Lexicon, vocabulary_path
 
 #: Bytes of a part that is not halved further, and characters of one inside a long word.
@@ -107,8 +108,8 @@ def long_word(lexicon: Lexicon, text: str, leaf: int = WORD_LEAF) -> list[int]:
     return [t[0] for t in encode(0, len(text))]
 
 
-def encode_texts(texts: list[bytes], path: str, leaf: int = LEAF, word_leaf: int = WORD_LEAF) -> list[tuple[bytes, bytes]]:
-    """(ids as little-endian unsigned 32-bit integers, decoded text in UTF-8) of each text."""
+def encode_texts(texts: list[bytes], path: str, leaf: int = LEAF, word_leaf: int = WORD_LEAF) -> list[bytes]:
+    """Ids as little-endian unsigned 32-bit integers of each text."""
     lexicon = Lexicon.at(path)
     split = [words_by_tree(t, leaf) for t in texts]
     lexicon.learn(w for words in split for w in words)
@@ -117,8 +118,8 @@ def encode_texts(texts: list[bytes], path: str, leaf: int = LEAF, word_leaf: int
         try:
             got = [known[w] for w in words]
         except KeyError:
-            got = [known[w] if w in known else lexicon.answer(long_word(lexicon, w.decode(), word_leaf)) for w in words]
-        out.append((b"".join([x[0] for x in got]), b" ".join([x[1] for x in got if x[1]])))
+            got = [known[w] if w in known else struct.pack(f"<{len(ids := long_word(lexicon, w.decode(), word_leaf))}I", *ids) for w in words]
+        out.append(b"".join(got))
     return out
 
 
@@ -135,12 +136,14 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             ids, texts = batch.column(0), [x.as_py() for x in batch.column(1).cast(pa.binary())]
             got = [x for some in by_bytes(texts) for x in encode_texts(some, path)]
+            decode = Lexicon.at(path).decode
             value = (lambda b: hashlib.sha256(b).hexdigest()) if digests else bytes
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(a) // 4 for a, _ in got], pa.int64()), pa.array([value(a) for a, _ in got], kind), pa.array([value(b) if with_decoded else None for _, b in got], kind)], names=names)
+            decoded = [value(decode(x)) if with_decoded else None for x in got]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(map(value, got), kind), pa.array(decoded, kind)], names=names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else SCHEMA
-    return text_of(df, id_col, text_col).mapInArrow(run, schema)
+    return text_of(df, id_col, text_col).mapInArrow(thrifty(run), schema)
 
 
 def op5_bpe(spark, sf_dir):

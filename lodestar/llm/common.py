@@ -50,7 +50,7 @@ def text_of(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     return df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col), *more)
 
 
-def by_bytes(texts: Iterable[bytes], most: int = 2 << 20) -> Iterator[list[bytes]]:
+def by_bytes(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
     """Runs of texts of about `most` bytes; a longer text stands alone."""
     run, size = [], 0
     for t in texts:
@@ -61,3 +61,43 @@ def by_bytes(texts: Iterable[bytes], most: int = 2 << 20) -> Iterator[list[bytes
         size += len(t)
     if run:
         yield run
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system; workers stay while other stages run."""
+    import ctypes
+
+    import pyarrow as pa
+
+    from . import wordhash
+
+    wordhash.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def thrifty(run):
+    """run(batches), a generator, with release() at its end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def thrifty_group(run):
+    """run(group) with release() after it."""
+
+    def wrapped(group):
+        try:
+            return run(group)
+        finally:
+            release()
+
+    return wrapped

@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_bytes, table, text_of, written
+from .common import bounded_batches, by_bytes, table, text_of, thrifty, thrifty_group, written
 from .components import components
 from .signature_tree import SignatureTree
 from .wordhash import mix, windows, words
 
 #: Keys that one bucket of the key table is meant to hold.
-BUCKET_KEYS = 1 << 22
+BUCKET_KEYS = 1 << 21
 #: Keys that a task packs at once, and rows of blocks that a task looks at together, as meant.
-EMIT_KEYS, BLOCK_ROWS = 1 << 21, 1 << 17
+EMIT_KEYS, BLOCK_ROWS = 1 << 20, 1 << 17
 #: A candidate group of more texts or bytes is dealt into chunks.
 GROUP_TEXTS, GROUP_BYTES = 8192, 48 << 20
 #: Ids that are broadcast at most (8 bytes each); beyond, texts are found by a shuffled join.
@@ -126,7 +126,7 @@ def document_classes(df: DataFrame, n: int, id_col: str = "doc_id", text_col: st
             sets = [s for some in by_bytes(texts) for s in sets_of(some, n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "cls", "n_bytes", "sketch"])
 
-    return text_of(df, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, cls long, n_bytes long, sketch binary")
+    return text_of(df, id_col, text_col).mapInArrow(thrifty(run), "doc_id long, n_shingles long, cls long, n_bytes long, sketch binary")
 
 
 def blocks_of(df: DataFrame, n: int, num: int, den: int, buckets: int, text_col: str = "text") -> DataFrame:
@@ -178,7 +178,7 @@ def blocks_of(df: DataFrame, n: int, num: int, den: int, buckets: int, text_col:
         return pa.table({"block": pa.array(np.repeat(name.view(np.int64), size), pa.int64()), "cls": pa.array(classes[member], pa.int64())})
 
     rows = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(emit, "bucket int, keys binary, classes binary").groupBy("bucket").applyInArrow(meet, "block long, cls long").distinct()
+    return rows.mapInArrow(thrifty(emit), "bucket int, keys binary, classes binary").groupBy("bucket").applyInArrow(thrifty_group(meet), "block long, cls long").distinct()
 
 
 def candidate_edges(blocks: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -186,7 +186,7 @@ def candidate_edges(blocks: DataFrame, classes: DataFrame, num: int, den: int) -
 
     def run(group: pa.Table) -> pa.Table:
         block, cls, size, sketch = group.column("block").to_numpy(), group.column("cls").to_numpy(), group.column("n_shingles").to_numpy(), group.column("sketch")
-        order = np.argsort(block, kind="stable")
+        order = np.lexsort((cls, block))
         ends = np.append(np.flatnonzero(np.diff(block[order])) + 1, len(order))
         out, a = set(), 0
         for b in ends.tolist():
@@ -197,7 +197,7 @@ def candidate_edges(blocks: DataFrame, classes: DataFrame, num: int, den: int) -
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     tasks = max(8, -(-blocks.count() // BLOCK_ROWS) * 4)
-    return blocks.join(classes, "cls").withColumn("task", F.pmod("block", F.lit(tasks))).groupBy("task").applyInArrow(run, "a long, b long")
+    return blocks.join(classes, "cls").withColumn("task", F.pmod("block", F.lit(tasks))).groupBy("task").applyInArrow(thrifty_group(run), "a long, b long")
 
 
 def _verify(n: int, num: int, den: int):
@@ -240,7 +240,7 @@ def linked_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     chunk = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(F.col("chunk"), k).alias("i"), F.greatest(F.col("chunk"), k).alias("j")))
     dealt = members.withColumn("chunk", chunk).withColumn("task", F.explode(tasks)).join(texts, "rep").select("root", "chunks", "task", "cls", "text")
-    links = written(dealt.groupBy("root", "task").applyInPandas(_verify(n, num, den), "a long, b long"), "links")
+    links = written(dealt.groupBy("root", "task").applyInPandas(thrifty_group(_verify(n, num, den)), "a long, b long"), "links")
     if sizes.where("chunks > 1").isEmpty():
         found = links.select(F.col("a").alias("v"), F.col("b").alias("root"))
     else:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, by_bytes, table, text_of
+from .common import bounded_batches, by_bytes, table, text_of, thrifty
 
 UNIT = 192
 #: Blocks down an image, at most.
@@ -425,7 +425,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 media = encode_payloads([pad(t) for t in some])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(some)), pa.array(map(len, some), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return text_of(df, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return text_of(df, id_col, text_col).mapInArrow(thrifty(run), "doc_id long, n_bytes long, media binary")
 
 
 def _runs(items: list[bytes], most: int = 1 << 20):
@@ -444,7 +444,7 @@ def tensors(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") ->
             got = [None if x is None else decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([None if x is None else x.shape[k] for x in got], pa.int32()) for k in (0, 1)], pa.array([None if x is None else x.tobytes() for x in got], pa.binary())], names=["doc_id", "height", "width", "rgb"])
 
-    return df.select(id_col, media_col).mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+    return df.select(id_col, media_col).mapInArrow(thrifty(run), "doc_id long, height int, width int, rgb binary")
 
 
 def read_back(df: DataFrame) -> DataFrame:
@@ -462,7 +462,7 @@ def read_back(df: DataFrame) -> DataFrame:
                     [batch.column(0).slice(start, len(some)), batch.column(1).slice(start, len(some)), pa.array(map(len, payloads), pa.int64()), sha(payloads), pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), pa.array(map(len, some), pa.int64()), sha(some), pa.array(features(images))], names=names
                 )
 
-    return df.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.mapInArrow(thrifty(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op9_progressive_jpeg(spark, sf_dir):

@@ -12,7 +12,7 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker keeps; then it starts anew (a bound on memory, results stay the same).
-KEEP = 600_000
+KEEP = 400_000
 #: A longer word is not kept.
 LONG = 256
 
@@ -24,7 +24,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Lexicon:
-    """word -> (ids as little-endian unsigned 32-bit integers, decoded text in UTF-8)."""
+    """word -> ids as little-endian unsigned 32-bit integers."""
 
     _open: dict[str, Lexicon] = {}
 
@@ -36,7 +36,7 @@ class Lexicon:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.pieces = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.tokenizer.get_vocab_size())]
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.words: dict[bytes, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> Lexicon:
@@ -44,8 +44,10 @@ class Lexicon:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def answer(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return np.array(ids, "<u4").tobytes(), b" ".join([self.pieces[i] for i in ids])
+    def decode(self, ids: bytes) -> bytes:
+        """The decoded text in UTF-8: the vocabulary has no decoder of its own, so tokens stand between spaces."""
+        pieces = self.pieces
+        return b" ".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
     def learn(self, words: Iterable[bytes]) -> None:
         """Looks up the words that are not known yet, all at once."""
@@ -55,4 +57,4 @@ class Lexicon:
             new = [w for w in set(words) if len(w) <= LONG]
         if new:
             for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                self.words[w] = self.answer(e.ids)
+                self.words[w] = np.array(e.ids, "<u4").tobytes()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, table, thrifty
 
 #: Fixed by the contract: phrase, label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -264,7 +264,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[n] for x in got], kinds[n]) for n in names], pa.array([x["spans"] for x in got], span)], names=["doc_id", *names, "spans"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(F.col(id_col).cast("long"), text).mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_col).cast("long"), text).mapInArrow(thrifty(run), SCHEMA)
 
 
 def op1_license_scan(spark, sf_dir):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_bytes, table, written
+from .common import bounded_batches, by_bytes, table, thrifty, written
 from .wordhash import LETTERS_ONLY, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -123,7 +123,7 @@ def _find(df: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.string(), near]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
 
-    return df.mapInArrow(run, _FOUND)
+    return df.mapInArrow(thrifty(run), _FOUND)
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
@@ -171,7 +171,7 @@ def _frequencies(df: DataFrame, bitmap: np.ndarray) -> DataFrame:
         for a in range(0, len(t), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(t[a : a + (1 << 16)], pa.int64()), pa.array(n[a : a + (1 << 16)].astype(np.int64), pa.int64())], names=["t", "n"])
 
-    return df.mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("df"))
+    return df.mapInArrow(thrifty(run), "t long, n long").groupBy("t").agg(F.sum("n").alias("df"))
 
 
 def _occurrences(df: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -191,7 +191,7 @@ def _occurrences(df: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 at += len(some)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "text_key", "t", "start", "end"])
 
-    return df.mapInArrow(run, "doc_id long, text_key long, t long, start long, end long")
+    return df.mapInArrow(thrifty(run), "doc_id long, text_key long, t long, start long, end long")
 
 
 def revealing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, table, written
+from .common import bounded_batches, shared_dir, table, thrifty, written
 
 #: Index lines in a compressed block.
 BLOCK = 512
@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, id_col:
         if out:
             out.close()
 
-    return written(marked.mapInArrow(run, "key string, file string, offset long, length long"), "captures")
+    return written(marked.mapInArrow(thrifty(run), "key string, file string, offset long, length long"), "captures")
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
@@ -173,7 +173,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([name])], names=["first_key", "file"])
 
     ranged = captures.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    return written(ranged.select("key", "file", "offset", "length").mapInArrow(run, "first_key string, file string"), "index")
+    return written(ranged.select("key", "file", "offset", "length").mapInArrow(thrifty(run), "first_key string, file string"), "index")
 
 
 class _IndexFile:
@@ -242,8 +242,8 @@ def lookup(keys: DataFrame, index: DataFrame, folder: str, payloads: bool = True
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    routed = keys.select("key").distinct().mapInArrow(route, "key string, part int")
-    return routed.repartition("part").sortWithinPartitions("part", "key").mapInArrow(run, SCHEMA)
+    routed = keys.select("key").distinct().mapInArrow(thrifty(route), "key string, part int")
+    return routed.repartition("part").sortWithinPartitions("part", "key").mapInArrow(thrifty(run), SCHEMA)
 
 
 def archive(pages: DataFrame, min_revisit: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", payloads: bool = False) -> DataFrame:

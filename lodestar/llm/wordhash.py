@@ -34,6 +34,12 @@ def _tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def forget() -> None:
+    """Drops the tables; they are made again when needed."""
+    for k in range(2):
+        _powers[k] = np.ones(1, np.uint64)
+
+
 def separators(chars: str) -> np.ndarray:
     """Which bytes part words, from a character class of single bytes."""
     out = np.zeros(256, bool)
