@@ -1 +1,421 @@
-QUERIES = {}
+"""Registered queries: each applies an operator to its whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunkers as C
+from ..operators import index as I
+from ..operators import retrieve as R
+from ..sources import readers as S
+
+#: The stated text queries, and the ids of the stated query vectors.
+TEXT_QUERIES = [("q1", "licensed under the general public license"), ("q2", "all rights reserved the"), ("q3", "der die und von"), ("q4", "que la los en")]
+VECTOR_IDS = (0, 1, 2, 3)
+K = 5
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def docs(spark, sf):
+    return t(spark, sf, "documents")
+
+
+def text_queries(spark):
+    return spark.createDataFrame(TEXT_QUERIES, "query_id string, query string")
+
+
+def vectors(spark, sf):
+    return t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"), F.col("label").alias("cell"))
+
+
+def vector_queries(spark, sf, ids=VECTOR_IDS):
+    return t(spark, sf, "embeddings").where(F.col("vec_id").isin(*ids)).select(F.concat(F.lit("q"), (F.col("vec_id") + 1).cast("string")).alias("query_id"), F.col("embedding").alias("qvec"), F.col("vec_id").alias("own"))
+
+
+def _ranked(df):
+    return df.select("query_id", "chunk_id", "score", "rank")
+
+
+def tokenize(spark, sf):
+    return docs(spark, sf).select("doc_id", T.tokenize(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"), F.array_join(F.slice("w", 1, 5), " ").alias("first_tokens"))
+
+
+def tfidf_postings(spark, sf):
+    return I.tfidf_postings(docs(spark, sf)).withColumn("weight", F.round("weight", 6))
+
+
+def bm25_postings(spark, sf):
+    return I.bm25_postings(docs(spark, sf)).withColumn("weight", F.round("weight", 6))
+
+
+def tfidf_search(spark, sf):
+    return I.search_text(docs(spark, sf), text_queries(spark), K, "tfidf")
+
+
+def bm25_search(spark, sf):
+    return I.search_text(docs(spark, sf), text_queries(spark), K)
+
+
+def bm25_param_grid(spark, sf):
+    wanted = I.query_terms(text_queries(spark))
+    tf = I._with_df(I.term_counts(docs(spark, sf)).join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi"))
+    grid = spark.createDataFrame([(k, b) for k in (0.5, 1.2, 1.5, 2.0) for b in (0.0, 0.5, 0.75)], "k1 double, b double")
+    rows = tf.crossJoin(F.broadcast(I.corpus_stats(docs(spark, sf)))).crossJoin(F.broadcast(grid)).join(F.broadcast(wanted), "term")
+    hits = rows.groupBy("k1", "b", "query_id", "chunk_id").agg(F.round(F.sum(I.bm25_weight(F.col("k1"), F.col("b")) * F.col("qtf")), 6).alias("score"))
+    return I.top_k(hits, 1, ("k1", "b", "query_id")).select("k1", "b", "query_id", "chunk_id", "score")
+
+
+def index_stats(spark, sf):
+    tf = I.term_counts(docs(spark, sf))
+    return tf.agg(F.countDistinct("term").alias("vocab"), F.count(F.lit(1)).alias("postings")).crossJoin(I.corpus_stats(docs(spark, sf))).select(F.col("n").alias("n_docs"), "vocab", "postings", F.round("avgdl", 1).alias("avgdl"))
+
+
+def _dense(metric):
+    return lambda spark, sf: _ranked(I.search_dense(vectors(spark, sf), vector_queries(spark, sf).drop("own"), K, metric))
+
+
+def tenant_topk(spark, sf):
+    v = vectors(spark, sf).withColumn("tenant_id", F.concat(F.lit("t"), F.pmod("chunk_id", F.lit(3)).cast("string")))
+    return I.search_dense(v, vector_queries(spark, sf).drop("own"), 3, by=("query_id", "tenant_id")).select("query_id", "tenant_id", "chunk_id", "score", "rank")
+
+
+def vec_normalize(spark, sf):
+    scaled = vectors(spark, sf).withColumn("vec", F.transform("vec", lambda x: x.cast("double") * (F.col("cell") + 2)))
+    return scaled.select("chunk_id", F.transform(I.normalized(F.col("vec")), lambda x: F.round(x, 5)).alias("v")).select("chunk_id", F.col("v")[0].alias("first"), F.col("v")[63].alias("last"))
+
+
+def vec_norm_audit(spark, sf):
+    off = F.abs(I.norm(F.col("vec")) - 1)
+    return vectors(spark, sf).select(off.alias("d")).agg(F.bool_and(F.col("d") <= 1e-4).alias("ok"), F.round(F.max("d"), 5).alias("max_deviation"), F.count_if(F.col("d") > 1e-4).alias("outliers"))
+
+
+def _hybrid(w_text, w_dense):
+    def run(spark, sf):
+        sparse = I.search_text(docs(spark, sf), text_queries(spark), 20)
+        dense = I.search_dense(vectors(spark, sf), vector_queries(spark, sf).drop("own"), 20)
+        return _ranked(I.rrf([(sparse, w_text), (dense, w_dense)], K))
+
+    return run
+
+
+def _with_text(spark, sf):
+    d = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "lang", "text")
+    return vectors(spark, sf).drop("cell").join(d, "chunk_id")
+
+
+def _filtered(mode):
+    def run(spark, sf):
+        q = vector_queries(spark, sf).drop("own").join(F.broadcast(text_queries(spark)), "query_id")
+        return _ranked(R.filtered(_with_text(spark, sf), q, {"lang": ["en", "de"]}, mode, K))
+
+    return run
+
+
+def metadata_filter(spark, sf):
+    return docs(spark, sf).where(R.matches({"lang": ["en", "fr"], "source": "src1"})).select("doc_id", "lang", "source")
+
+
+def multi_query_rr(spark, sf):
+    q = vector_queries(spark, sf, (0, 1, 2)).select("query_id", "qvec")
+    hits = I.search_dense(vectors(spark, sf), q, K).withColumn("variant", F.col("query_id")).withColumn("query_id", F.lit("q"))
+    return _ranked(R.fuse_variants(hits, K))
+
+
+def multi_hop_merge(spark, sf):
+    return R.multi_hop(vectors(spark, sf).drop("cell"), vector_queries(spark, sf)).select("query_id", "chunk_id", "score", "hop", "rank")
+
+
+def _candidates(spark, sf, k=10):
+    """The text search's hits with their texts; hits are few (queries times k)."""
+    hits = I.search_text(docs(spark, sf), text_queries(spark), k)
+    return hits.join(F.broadcast(text_queries(spark)), "query_id").join(docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id")
+
+
+def rerank_overlap(spark, sf):
+    return R.rerank(_candidates(spark, sf), R.overlap_score(F.col("query"), F.col("content"))).select("query_id", "chunk_id", "rerank_score", "original_rank", "rank")
+
+
+def rerank_listwise(spark, sf):
+    hits = I.search_text(docs(spark, sf), text_queries(spark), K)
+    order = T.parse_ranking(F.lit("Best first: 3, 1, 9, 3 and 2"), F.lit(K))
+    return R.rerank(hits, R.listwise_score(order, F.col("original_rank"), F.lit(K))).select("query_id", "chunk_id", "rerank_score", "original_rank", "rank")
+
+
+def _replies(spark, sf):
+    c = t(spark, sf, "conversations")
+    n = (F.col("conv_id") * 7 + F.col("turn")) % 13
+    return c.select("conv_id", "turn", n.alias("n"), F.col("text"))
+
+
+def parse_score(spark, sf):
+    r = F.concat(F.lit("Score: "), F.col("n").cast("string"), F.lit("/10 "), F.col("text"))
+    return _replies(spark, sf).select("conv_id", "turn", T.parse_score(r).alias("score"))
+
+
+def parse_ranking(spark, sf):
+    n = F.col("n")
+    r = F.concat_ws(", ", n.cast("string"), (n % 5).cast("string"), F.lit("2"), (n % 3 + 1).cast("string"))
+    return _replies(spark, sf).select("conv_id", "turn", F.array_join(F.transform(T.parse_ranking(r, F.lit(6)), lambda x: x.cast("string")), ",").alias("ranking"))
+
+
+def parse_variants(spark, sf):
+    r = F.concat(F.lit("1. "), F.col("text"), F.lit("\n2) short\n- another way to ask this\n3. "), F.col("text"))
+    return _replies(spark, sf).select("conv_id", "turn", F.array_join(T.parse_variants(r), "|").alias("variants"))
+
+
+def parse_react(spark, sf):
+    r = F.concat(F.lit("Thought: look at "), F.col("n").cast("string"), F.lit("\nAction: "), F.when(F.col("n") < 5, F.lit("vector_search(what is it)")).when(F.col("n") < 9, F.lit("keyword_search")).otherwise(F.lit("FINISH")))
+    return _replies(spark, sf).select("conv_id", "turn", *[v.alias(k) for k, v in T.parse_react(r, F.lit("the query")).items()])
+
+
+def rewrite_fallback(spark, sf):
+    r = F.when(F.col("n") % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" rewritten "), F.col("n").cast("string")))
+    return _replies(spark, sf).select("conv_id", "turn", F.coalesce(F.nullif(F.trim(r), F.lit("")), F.col("text")).alias("rewritten_query"))
+
+
+def build_prompt(spark, sf):
+    return R.prompt(_candidates(spark, sf, 3).withColumn("content", F.substring("content", 1, 200)))
+
+
+def chunk_overlapping(spark, sf):
+    return C.chunk_overlapping(docs(spark, sf)).select("doc_id", "chunk_index", "start_index", "end_index", "chunk_size_chars", F.md5("content").alias("content_md5"))
+
+
+def _chunks(f, *cols, **options):
+    return lambda spark, sf: f(docs(spark, sf), **options).select("doc_id", *cols, "chunk_size_chars", "start_index", "end_index", F.md5("content").alias("content_md5"))
+
+
+def chunk_metadata_aware(spark, sf):
+    d = docs(spark, sf).withColumns({"content_type": F.when(F.col("doc_id") % 11 == 0, F.lit("table")).when(F.col("doc_id") % 13 == 0, F.lit("ocr_needed")).otherwise(F.lit("text")), "heading_level": (F.col("doc_id") % 7).cast("int")})
+    return C.chunk_metadata_aware(d).select("doc_id", "chunk_index", "split_reason", "target_size_used", "chunk_size_chars", "start_index", "end_index", F.md5("content").alias("content_md5"))
+
+
+def chunk_size_stats(spark, sf):
+    n = F.col("chunk_size_chars")
+    return C.chunk_overlapping(docs(spark, sf)).agg(F.count(F.lit(1)).alias("n_chunks"), F.floor(F.avg(n)).cast("long").alias("avg_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"))
+
+
+def boundary_quality(spark, sf):
+    end = F.regexp_replace("content", r"\s+\z", "")
+    return C.chunk_overlapping(docs(spark, sf)).agg(F.round(F.avg(F.regexp_like(end, F.lit(r'[.!?")\:;]\z')).cast("double")), 6).alias("natural_share"))
+
+
+def chunk_semantic_breaks(spark, sf):
+    v = vectors(spark, sf)
+    return C.semantic_groups(v.select(F.col("cell").alias("doc_id"), F.col("chunk_id").alias("pos"), "vec")).select("doc_id", "pos", "similarity", "grp")
+
+
+def density_score(spark, sf):
+    return docs(spark, sf).select("doc_id", F.round(T.density(F.col("text")), 6).alias("density"))
+
+
+def doc_stats(spark, sf):
+    return docs(spark, sf).select("doc_id", *[v.alias(k) for k, v in T.stats(F.col("text")).items()])
+
+
+def clean_text(spark, sf):
+    messy = F.concat(F.lit("  \u200b"), F.replace("text", F.lit(" the "), F.lit("  the\t\x01 ")), F.lit(" e\u0301\n\n\n\n  x \n "))
+    return docs(spark, sf).select("doc_id", T.clean(messy).alias("c")).select("doc_id", F.length("c").alias("n_chars_clean"), F.md5("c").alias("clean_md5"))
+
+
+def lang_gate(spark, sf):
+    guess, p = F.when(F.contains("text", F.lit("ß")), F.lit("de")).otherwise(F.lit("fr")), F.when(F.col("doc_id") % 3 == 0, F.lit(0.9)).otherwise(F.lit(0.5))
+    gated = F.when(~F.col("lang").isin("en", "unknown", ""), F.col("lang")).when(F.length("text") < 50, F.lit("en")).when(p >= 0.85, guess).otherwise(F.lit("en"))
+    return docs(spark, sf).select("doc_id", gated.alias("language"))
+
+
+def csv_row_template(spark, sf):
+    n = t(spark, sf, "nation")
+    return n.select("n_nationkey", S.row_text(n).alias("content"))
+
+
+def csv_file_table(spark, sf):
+    return S.table_text(t(spark, sf, "region"), "r_regionkey")
+
+
+def _segments(spark, sf):
+    return t(spark, sf, "conversations").select(F.col("conv_id").alias("video_id"), F.col("text"), (F.col("turn") * 701.5).alias("start"), F.lit(4.25).alias("duration"))
+
+
+def url_video_id(spark, sf):
+    p = F.col("page_id")
+    key = F.substring(F.md5(p.cast("string")), 1, 11)
+    u = F.when(p % 5 == 0, F.concat(F.lit("https://youtu.be/"), key)).when(p % 5 == 1, F.concat(F.lit("https://www.youtube.com/watch?v="), key, F.lit("&t=3"))).when(p % 5 == 2, F.concat(F.lit("https://youtube.com/shorts/"), key)).when(p % 5 == 3, key).otherwise(F.col("url"))
+    return t(spark, sf, "pages").select("page_id", T.video_id(u).alias("video_id"))
+
+
+def route_source(spark, sf):
+    p = F.col("page_id")
+    u = F.when(p % 4 == 0, F.concat(F.lit("dir/a"), p.cast("string"), F.lit(".PDF"))).when(p % 4 == 1, F.lit("https://youtu.be/abc")).when(p % 4 == 2, F.lit("notes.xyz")).otherwise(F.col("url"))
+    return t(spark, sf, "pages").select("page_id", T.route(u).alias("loader"))
+
+
+def html_title(spark, sf):
+    return t(spark, sf, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
+
+
+def html_extract(spark, sf):
+    return t(spark, sf, "pages").select("page_id", T.html_text(F.col("html")).alias("content"))
+
+
+def _gold(spark, sf):
+    return t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.array_join(F.slice(T.words(F.col("text")), 1, 12), " ").alias("query"), F.col("text").alias("gold"))
+
+
+def _gold_ranked(spark, sf):
+    gold = _gold(spark, sf)
+    hits = I.search_text(docs(spark, sf), gold, K)
+    texts = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "lang")
+    return gold, hits.join(gold, "query_id").join(texts, "chunk_id").withColumn("relevant", R.is_relevant(F.col("content"), F.col("gold")))
+
+
+def is_relevant(spark, sf):
+    return _gold_ranked(spark, sf)[1].select("query_id", "chunk_id", "rank", "relevant")
+
+
+def eval_recall_mrr(spark, sf):
+    return R.evaluate(*_gold_ranked(spark, sf))
+
+
+def eval_by_source(spark, sf):
+    ranked = _gold_ranked(spark, sf)[1].where("rank = 1")
+    return ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("relevant").cast("double")), 6).alias("recall_at_1"))
+
+
+def leaderboard(spark, sf):
+    gold = _gold(spark, sf)
+    out = None
+    texts = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    for method in ("bm25", "tfidf"):
+        hits = I.search_text(docs(spark, sf), gold, K, method).join(gold, "query_id").join(texts, "chunk_id").withColumn("relevant", R.is_relevant(F.col("content"), F.col("gold")))
+        row = R.evaluate(gold, hits).agg(F.round(F.avg("recall_at_1"), 6).alias("recall_at_1"), F.round(F.avg("mrr"), 6).alias("mrr")).withColumn("method", F.lit(method))
+        out = row if out is None else out.unionByName(row)
+    from pyspark.sql import Window as W
+
+    return out.withColumn("place", F.rank().over(W.orderBy(F.desc("recall_at_1"), F.desc("mrr")))).select("method", "recall_at_1", "mrr", "place")
+
+
+def faithfulness_4gram(spark, sf):
+    c = t(spark, sf, "conversations")
+    first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("context"))
+    return c.join(first, "conv_id").select("conv_id", "turn", F.round(R.faithfulness(F.col("text"), F.col("context")), 6).alias("faithfulness"))
+
+
+def cache_key(spark, sf):
+    return docs(spark, sf).select("doc_id", R.cache_key("hash-64", F.col("text")).alias("cache_key"))
+
+
+def cache_misses(spark, sf):
+    d = docs(spark, sf)
+    return R.cache_misses(d, d.where("doc_id % 2 = 0").select(R.cache_key("hash-64", F.col("text")).alias("cache_key")).distinct(), "hash-64")
+
+
+def cache_stats(spark, sf):
+    return docs(spark, sf).select(F.concat(F.lit("model-"), "lang").alias("model_name"), (F.col("doc_id") % 5).alias("hit_count")).groupBy("model_name").agg(F.count(F.lit(1)).alias("entries"), F.sum("hit_count").alias("hits"))
+
+
+def index_upsert(spark, sf):
+    old = docs(spark, sf).select("doc_id", F.col("source").alias("tenant_id"), F.lit(1).alias("version"))
+    new = docs(spark, sf).where("doc_id % 3 = 0").select((F.col("doc_id") + 5).alias("doc_id"), F.lit("new").alias("tenant_id"), F.lit(2).alias("version"))
+    return I.upsert(old, new, "doc_id")
+
+
+def index_delete(spark, sf):
+    gone = t(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct()
+    return I.delete(docs(spark, sf).select("doc_id", "source"), gone, "doc_id")
+
+
+def ivf_centroids(spark, sf):
+    return I.centroids(vectors(spark, sf)).select("cell", F.round(F.col("centroid")[0], 6).alias("first"), F.round(I.norm(F.col("centroid")), 6).alias("norm"))
+
+
+def ivf_search(spark, sf):
+    return _ranked(I.search_ivf(vectors(spark, sf), vector_queries(spark, sf).drop("own"), K))
+
+
+def ann_lsh(spark, sf):
+    """Approximate search over k-means cells: the stand-in for a graph index."""
+    return _ranked(I.search_ivf(I.kmeans_cells(vectors(spark, sf).drop("cell"), 10), vector_queries(spark, sf).drop("own"), K, nprobe=4))
+
+
+def _raptor(spark, sf):
+    leaves = vectors(spark, sf).select(F.concat(F.lit("leaf-"), F.col("chunk_id").cast("string")).alias("chunk_id"), "vec", "cell", F.lit(0).alias("level"))
+    level1 = I.centroids(vectors(spark, sf)).select(F.concat(F.lit("node1-"), F.col("cell").cast("string")).alias("chunk_id"), I.normalized(F.col("centroid")).cast("array<float>").alias("vec"), (F.col("cell") % 3).cast("int").alias("cell"), F.lit(1).alias("level"))
+    level2 = I.centroids(level1).select(F.concat(F.lit("node2-"), F.col("cell").cast("string")).alias("chunk_id"), I.normalized(F.col("centroid")).cast("array<float>").alias("vec"), F.lit(0).alias("cell"), F.lit(2).alias("level"))
+    return leaves, level1, level2
+
+
+def raptor_level1(spark, sf):
+    v = vectors(spark, sf)
+    members = v.groupBy("cell").agg(F.count(F.lit(1)).alias("n_members"), F.min("chunk_id").alias("first_member"))
+    return members.join(I.centroids(v), "cell").select("cell", "n_members", "first_member", F.round(F.col("centroid")[0], 6).alias("first"))
+
+
+def raptor_tree(spark, sf):
+    a, b, c = _raptor(spark, sf)
+    return a.unionByName(b).unionByName(c).select("chunk_id", "level", "cell", F.round(I.norm(F.col("vec")), 4).alias("norm"))
+
+
+def raptor_stats(spark, sf):
+    a, b, c = _raptor(spark, sf)
+    return a.unionByName(b).unionByName(c).groupBy("level").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def raptor_search(spark, sf):
+    a, b, c = _raptor(spark, sf)
+    return _ranked(I.search_dense(a.unionByName(b).unionByName(c).drop("cell", "level"), vector_queries(spark, sf).drop("own"), K))
+
+
+def crag_overlap(spark, sf):
+    return _candidates(spark, sf, 3).select("query_id", "chunk_id", F.round(T.contains_terms_share(F.col("query"), F.col("content"), R.STOP), 6).alias("overlap"))
+
+
+def crag_route(spark, sf):
+    c = _candidates(spark, sf, 6)
+    share = T.contains_terms_share(F.col("query"), F.col("content"), R.STOP)
+    per = c.groupBy("query_id").agg(F.max(share).alias("share"), F.count_if(share >= 0.5).alias("relevant"))
+    return per.select("query_id", R.corrective_action(F.when(F.col("share") > 0.6, F.lit("CORRECT")).otherwise(F.lit("AMBIGUOUS")), F.col("share"), F.col("relevant"), 3).alias("crag_action"))
+
+
+def self_rag_filter(spark, sf):
+    judged = R.keep_relevant(_candidates(spark, sf, 10), R.overlap_score(F.col("query"), F.col("content")) >= 0.75, K)
+    return judged.select("query_id", "chunk_id", "rank", "relevant", "fallback")
+
+
+def agentic_union(spark, sf):
+    """Two tools' hits, united by chunk; fused by rank, since their scores differ in scale."""
+    steps = [(I.search_dense(vectors(spark, sf), vector_queries(spark, sf).drop("own"), 3), 1.0), (I.search_text(docs(spark, sf), text_queries(spark), 3), 1.0)]
+    return _ranked(I.rrf(steps, K))
+
+
+def embed_prefix(spark, sf):
+    return docs(spark, sf).select("doc_id", F.substring(F.concat(F.lit("passage: "), "text"), 1, 40).alias("passage"), F.substring(F.concat(F.lit("Represent this sentence for searching relevant passages: "), "text"), 1, 80).alias("query"))
+
+
+def embed_batches(spark, sf):
+    e = docs(spark, sf).select("doc_id", F.when(~T.is_blank(F.col("text")), R.hash_embed(F.substring("text", 1, 2000))).alias("v"))
+    return e.select("doc_id", F.round(I.norm(F.col("v")), 4).alias("norm"), F.size("v").alias("dimension"))
+
+
+def md_sections(spark, sf):
+    raw = docs(spark, sf).select(F.col("doc_id").cast("string").alias("source"), F.concat(F.lit("intro before any heading at all\n# Title\n"), "text", F.lit("\n## Part "), "lang", F.lit("\nbody of the last part, long enough")).alias("raw"))
+    return S.markdown_sections(raw).select("source", "pos", "heading_level", "section_title", F.length("content").alias("n"))
+
+
+QUERIES = {
+    "tokenize": tokenize, "tfidf_postings": tfidf_postings, "tfidf_search": tfidf_search, "bm25_postings": bm25_postings, "bm25_search": bm25_search, "bm25_param_grid": bm25_param_grid, "index_stats": index_stats,
+    "dense_topk": _dense("ip"), "dense_cosine": _dense("cosine"), "dense_l2": _dense("l2"), "tenant_topk": tenant_topk, "vec_normalize": vec_normalize, "vec_norm_audit": vec_norm_audit, "hybrid_rrf": _hybrid(1.0, 1.0), "hybrid_rrf_weighted": _hybrid(2.0, 0.5),
+    "filtered_post": _filtered("post"), "filtered_pre": _filtered("pre"), "filtered_boost": _filtered("boost"), "metadata_filter": metadata_filter, "multi_query_rr": multi_query_rr, "multi_hop_merge": multi_hop_merge, "rerank_overlap": rerank_overlap, "rerank_listwise": rerank_listwise,
+    "parse_score": parse_score, "parse_ranking": parse_ranking, "parse_variants": parse_variants, "parse_react": parse_react, "rewrite_fallback": rewrite_fallback, "build_prompt": build_prompt,
+    "chunk_overlapping": chunk_overlapping, "chunk_recursive": _chunks(C.chunk_recursive, "chunk_index"), "chunk_parent_child": _chunks(C.chunk_parent_child, "parent_index", "child_index_in_parent", "parent_chars"), "chunk_adaptive": _chunks(C.chunk_adaptive, "chunk_index", "density_score", "target_size"), "chunk_metadata_aware": chunk_metadata_aware,
+    "chunk_semantic_breaks": chunk_semantic_breaks, "chunk_size_stats": chunk_size_stats, "boundary_quality": boundary_quality, "density_score": density_score, "doc_stats": doc_stats, "clean_text": clean_text, "lang_gate": lang_gate,
+    "csv_row_template": csv_row_template, "csv_file_table": csv_file_table, "transcript_segments": lambda s, d: S.transcript_segments(_segments(s, d)), "transcript_full": lambda s, d: S.transcript_full(_segments(s, d)), "url_video_id": url_video_id, "route_source": route_source, "html_title": html_title, "html_extract": html_extract,
+    "is_relevant": is_relevant, "eval_recall_mrr": eval_recall_mrr, "eval_by_source": eval_by_source, "leaderboard": leaderboard, "faithfulness_4gram": faithfulness_4gram, "cache_key": cache_key, "cache_misses": cache_misses, "cache_stats": cache_stats, "index_upsert": index_upsert, "index_delete": index_delete,
+    "ivf_centroids": ivf_centroids, "ivf_search": ivf_search, "ann_lsh": ann_lsh, "raptor_level1": raptor_level1, "raptor_tree": raptor_tree, "raptor_stats": raptor_stats, "raptor_search": raptor_search, "crag_overlap": crag_overlap, "crag_route": crag_route, "self_rag_filter": self_rag_filter, "agentic_union": agentic_union,
+    "embed_prefix": embed_prefix, "embed_batches": embed_batches, "md_sections": md_sections,
+}
