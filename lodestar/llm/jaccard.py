@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, by_bytes, table, text_of, thrifty, thrifty_group, written
 from .components import components
-from .signature_tree import SignatureTree
+from .signature_tree import Forest, SignatureTree
 from .wordhash import mix, windows, words
 
 #: Keys that one bucket of the key table is meant to hold.
@@ -182,21 +182,25 @@ def blocks_of(df: DataFrame, n: int, num: int, den: int, buckets: int, text_col:
 
 
 def candidate_edges(blocks: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) that join the classes of each block which may link; classes has (cls, n_shingles, sketch)."""
+    """Edges (a, b) that join the classes of each block which may link; classes has (cls, n_shingles, sketch). A task joins what its blocks have in common and gives an edge from each class to the smallest one that it reaches, so tasks that see the same group give the same edges."""
 
     def run(group: pa.Table) -> pa.Table:
         block, cls, size, sketch = group.column("block").to_numpy(), group.column("cls").to_numpy(), group.column("n_shingles").to_numpy(), group.column("sketch")
         order = np.lexsort((cls, block))
         ends = np.append(np.flatnonzero(np.diff(block[order])) + 1, len(order))
-        out, a = set(), 0
+        names = np.unique(cls)
+        forest, a = Forest(len(names)), 0
+        number = {c: k for k, c in enumerate(names.tolist())}
         for b in ends.tolist():
             mine = order[a:b]
-            out.update(_block_edges(cls[mine], size[mine], [sketch[int(k)].as_py() for k in mine], num, den))
+            for x, y in _block_edges(cls[mine], size[mine], [sketch[int(k)].as_py() for k in mine], num, den):
+                forest.join(number[x], number[y])
             a = b
-        pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        root = names[[forest.root(k) for k in range(len(names))]] if len(names) else names
+        joined = root != names
+        return pa.table({"a": pa.array(names[joined], pa.int64()), "b": pa.array(root[joined], pa.int64())})
 
-    tasks = max(8, -(-blocks.count() // BLOCK_ROWS) * 4)
+    tasks = max(8, -(-blocks.count() // BLOCK_ROWS))
     return blocks.join(classes, "cls").withColumn("task", F.pmod("block", F.lit(tasks))).groupBy("task").applyInArrow(thrifty_group(run), "a long, b long")
 
 

@@ -11,7 +11,7 @@ import numpy as np
 FAN = 16
 
 
-class _Forest:
+class Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
 
@@ -57,7 +57,7 @@ class SignatureTree:
             at = np.arange(0, len(x["low"]), FAN)
             self.levels.append({"or": np.bitwise_or.reduceat(x["or"], at), "low": np.minimum.reduceat(x["low"], at), "high": np.maximum.reduceat(x["high"], at), "pop": np.minimum.reduceat(x["pop"], at), "over": np.maximum.reduceat(x["over"], at)})
         self.alike: list[list[bool]] = [[k == 0] * len(x["low"]) for k, x in enumerate(self.levels)]
-        self.forest = _Forest(len(sets))
+        self.forest = Forest(len(sets))
         self.compared = self.seen = 0
 
     def _children(self, level: int, i: int) -> range:
