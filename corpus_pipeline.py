@@ -20,9 +20,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles with a similarity of 0.8 or more, the document with the smallest id stays. Rows that share an id stay or go together; equal rows become one."""
-    groups = linked_groups(docs, n=5, num=80, den=100)
-    kept = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    groups = written(linked_groups(docs, n=5, num=80, den=100), "groups")
+    ids = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    gone = written(ids.where("not kept").select(F.col("doc_id").alias("_id")), "gone")
+    again = written(ids.where("rows > 1").select(F.col("doc_id").alias("_id")), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    # only rows that share an id are compared as a whole
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

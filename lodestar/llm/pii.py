@@ -224,10 +224,10 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,action:string>>")))
 
 
-def clean_text(text: str, spans: str, terms) -> str:
-    """Entities become a label of their kind, generalised terms a label, removed terms nothing; overlapping spans become one, the first one's."""
-    cuts = [(int(a), int(b), f"[{k.upper()}]") for k, a, b in (x.split(":") for x in spans.split(",") if x)]
-    cuts += [(x["start"], x["end"], "[TERM]" if x["action"] == "generalise" else "") for x in terms]
+def clean_text(text: str, terms: str | None = None) -> str:
+    """Entities become a label of their kind, generalised terms a label, removed terms nothing; overlapping spans become one, the first one's. terms: start:end:action, comma-joined."""
+    cuts = [(a, b, f"[{k.upper()}]") for k, a, b in entities(text)]
+    cuts += [(int(a), int(b), "[TERM]" if action == "generalise" else "") for a, b, action in (x.split(":") for x in (terms or "").split(",") if x)]
     out, at = [], 0
     for a, b, label in sorted(cuts):
         if a >= at:
@@ -237,13 +237,13 @@ def clean_text(text: str, spans: str, terms) -> str:
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with its texts sanitised; same rows, same columns. A null text stays null."""
-    spans = find_spans(df, id_col, text_col)
-    spans = written(spans.where("base <> '' or size(terms) > 0").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("base").alias("_base"), F.col("terms").alias("_terms")).distinct(), "spans")
+    """df with its texts sanitised; same rows, same columns. A null text stays null. Entities are found again where they are replaced, so only rows with revealing terms are joined by key."""
+    joined = F.array_join(F.transform("terms", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["action"])), ",")
+    spans = written(find_spans(df, id_col, text_col).where("size(terms) > 0").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), joined.alias("_terms")).distinct(), "spans")
     key = F.udf(lambda t: None if t is None else _hash(t.encode()), "long", useArrow=True)
-    edit = F.udf(lambda t, b, x: t if t is None or b is None else clean_text(t, b, [y.asDict() for y in x]), "string", useArrow=False)
+    edit = F.udf(lambda t, x: None if t is None else clean_text(t, x), "string", useArrow=True)
     out = df.withColumn("_key", key(F.col(text_col))).join(spans, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    return out.withColumn(text_col, F.when(F.col("_base").isNull(), F.col(text_col)).otherwise(edit(text_col, "_base", "_terms"))).select(*df.columns)
+    return out.withColumn(text_col, edit(text_col, "_terms")).select(*df.columns)
 
 
 def op7_pii(spark, sf_dir):
