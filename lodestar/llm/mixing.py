@@ -22,7 +22,10 @@ BLOCK = 256
 DEPTH = 4
 #: A source's blocks are ranked bucket by bucket.
 BUCKETS = 4096
-_ZERO = F.lit(0).cast("long")
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("long")
 
 
 def n_words(text: Column) -> Column:
@@ -82,7 +85,7 @@ def _halves(level: int, seed: int):
     """Turns a node, the sources' block counts, into its two halves."""
 
     def halves(node: Column, at: Column) -> Column:
-        total = F.aggregate(node, _ZERO, lambda a, x: a + x)
+        total = F.aggregate(node, _zero(), lambda a, x: a + x)
         start = F.struct(total.alias("rest"), F.floor(total / 2).cast("long").alias("want"), F.array().cast("array<long>").alias("left"))
 
         def draw(a: Column, x: Column) -> Column:
@@ -124,7 +127,7 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CA
     A null text or one without words has no blocks; a null source is a source, the last; equal rows are rows of their own; an empty table gives no blocks. The permutation hangs on (seed, source, document id, size, block), so reruns agree.
     """
     goals = written(targets(sizes, weights, share, cap), "mix-targets")
-    blocks = sizes.where("size > 0").withColumn("block", F.explode(F.sequence(_ZERO, F.floor((F.col("size") - 1) / block))))
+    blocks = sizes.where("size > 0").withColumn("block", F.explode(F.sequence(_zero(), F.floor((F.col("size") - 1) / block))))
     blocks = blocks.withColumn("words", F.least(F.lit(block).cast("long"), F.col("size") - F.col("block") * block))
     blocks = blocks.withColumn("key", F.xxhash64(F.lit(seed), "source", "doc_id", "size", "block"))
     blocks = blocks.withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 40), F.lit(BUCKETS)))
