@@ -36,14 +36,10 @@ def tokenize(t: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(t), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: F.length(w) > 1)
 
 
-@F.udf("string", useArrow=True)
-def _nfc(t):
-    return None if t is None else unicodedata.normalize("NFC", t)
-
-
 def nfc(t: Column) -> Column:
     """Canonical composition; texts below U+0300 are composed already and don't leave the JVM's fast path."""
-    return F.when(F.regexp_like(t, F.lit(r"[^\x{00}-\x{2FF}]")), _nfc(t)).otherwise(t)
+    compose = F.udf(lambda x: None if x is None else unicodedata.normalize("NFC", x), "string", useArrow=True)
+    return F.when(F.regexp_like(t, F.lit(r"[^\x{00}-\x{2FF}]")), compose(t)).otherwise(t)
 
 
 def clean(t: Column) -> Column:
