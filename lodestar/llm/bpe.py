@@ -143,7 +143,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else SCHEMA
-    return text_of(df, id_col, text_col).mapInArrow(thrifty(run), schema)
+    return text_of(df, id_col, text_col).mapInArrow(thrifty(run, keep_words=True), schema)
 
 
 def op5_bpe(spark, sf_dir):

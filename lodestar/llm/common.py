@@ -63,15 +63,19 @@ def by_bytes(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[list[bytes
         yield run
 
 
-def release() -> None:
-    """Gives memory that a Python worker no longer uses back to the system; workers stay while other stages run."""
+def release(keep_words: bool = False) -> None:
+    """Gives memory that a Python worker no longer uses back to the system; workers stay while other stages run. Words that the tokenizer operators keep go too, unless the task is one of theirs."""
     import ctypes
+    import sys
 
     import pyarrow as pa
 
     from . import wordhash
 
     wordhash.forget()
+    for module, kept in (("lexicon", "Lexicon"), ("token_counts", "Transducer")):
+        if not keep_words and (m := sys.modules.get(f"{__package__}.{module}")):
+            getattr(m, kept)._open.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -79,14 +83,14 @@ def release() -> None:
         pass
 
 
-def thrifty(run):
+def thrifty(run, keep_words: bool = False):
     """run(batches), a generator, with release() at its end."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            release()
+            release(keep_words)
 
     return wrapped
 

@@ -112,7 +112,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n = [x for some in by_bytes(texts) for x in count_texts(some, path)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return text_of(df, id_col, text_col).mapInArrow(thrifty(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return text_of(df, id_col, text_col).mapInArrow(thrifty(run, keep_words=True), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op10_token_counts(spark, sf_dir):
