@@ -51,10 +51,11 @@ class Lexicon:
 
     def learn(self, words: Iterable[bytes]) -> None:
         """Looks up the words that are not known yet, all at once."""
-        new = [w for w in set(words) if w not in self.words and len(w) <= LONG]
+        words = {w for w in words if len(w) <= LONG}
+        new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > KEEP:
             self.words.clear()
-            new = [w for w in set(words) if len(w) <= LONG]
+            new = list(words)
         if new:
             for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
                 self.words[w] = np.array(e.ids, "<u4").tobytes()

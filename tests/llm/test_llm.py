@@ -279,3 +279,14 @@ def test_pipeline(spark):
             texts = [(r.doc_id, r.text, None) for r in before.collect()]
             assert sorted(r.doc_id for r in seen.collect()) == sorted(d for d, _, least in _groups(texts, 5, 80, 100) if d == least)
     assert 0 < seen.count()
+
+
+def test_lexicon_starts_anew(monkeypatch):
+    """Beyond its bound the lexicon forgets, and still learns the words at hand."""
+    from lodestar.llm import lexicon
+
+    monkeypatch.setattr(lexicon, "KEEP", 3)
+    words = Lexicon(vocabulary_path())
+    words.learn(iter([b"one", b"two"]))
+    words.learn(iter([b"three", b"four"]))
+    assert set(words.words) == {b"three", b"four"}
