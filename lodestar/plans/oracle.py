@@ -136,6 +136,9 @@ ORACLE: dict[str, str] = {
     "is_relevant": f"{_search(_bm25(), 5, _GOLD)}, {_RANKED} SELECT query_id, chunk_id, rank, relevant FROM rk",
     "eval_recall_mrr": f"{_search(_bm25(), 5, _GOLD)}, {_RANKED}, {_EVAL} SELECT * FROM ev",
     "eval_by_source": f"{_search(_bm25(), 5, _GOLD)}, {_RANKED} SELECT lang, count(*) AS n, round(avg(relevant::INT::DOUBLE), 6) AS recall_at_1 FROM rk WHERE rank = 1 GROUP BY lang",
+    "method_diff": "WITH a AS (" + f"{_search(_bm25(), 5, _GOLD)}, {_RANKED}, {_EVAL} SELECT * FROM ev" + "), b AS (" + f"{_search(_TFIDF, 5, _GOLD)}, {_RANKED}, {_EVAL} SELECT * FROM ev" + ") SELECT query_id, b.recall_at_1 AS fused, a.recall_at_1 AS leg_0, CASE WHEN b.recall_at_1 > a.recall_at_1 THEN 'fused wins' WHEN b.recall_at_1 = 0 THEN 'all miss' ELSE 'no gain' END AS verdict FROM a JOIN b USING (query_id)",
+    "rewrite_search": _search(_bm25(), 5, _Q.replace("q AS", "q0 AS", 1) + r", q AS (SELECT query_id, regexp_replace(query, '\b(the|der|die|la|los)\b', ' ', 'g') AS query FROM q0)") + " SELECT * FROM hits",
+    "embedding_cost": "SELECT label::VARCHAR AS name, round(round(count(*) / 8.0, 3) * 1000000 / 3.6e6, 4) AS hours, round(max(len(embedding)) * 4.0 * 1000000 / 1e9, 4) AS gigabytes FROM embeddings GROUP BY label",
     "leaderboard": "WITH a AS (" + f"{_search(_bm25(), 5, _GOLD)}, {_RANKED}, {_EVAL} SELECT * FROM ev" + "), b AS (" + f"{_search(_TFIDF, 5, _GOLD)}, {_RANKED}, {_EVAL} SELECT * FROM ev" + "), m AS (SELECT 'bm25' AS method, round(avg(recall_at_1), 6) AS recall_at_1, round(avg(mrr), 6) AS mrr FROM a UNION ALL SELECT 'tfidf', round(avg(recall_at_1), 6), round(avg(mrr), 6) FROM b) SELECT *, rank() OVER (ORDER BY recall_at_1 DESC, mrr DESC) AS place FROM m",
     "faithfulness_4gram": f"WITH f AS (SELECT conv_id, arg_min(text, turn) AS context FROM conversations GROUP BY 1), x AS (SELECT conv_id, turn, lower(context) AS c, {_words('lower(text)')} AS w FROM conversations JOIN f USING (conv_id)) SELECT conv_id, turn, round(CASE WHEN len(w) < 4 THEN 1.0 ELSE len(list_filter(range(1, len(w) - 2), lambda i: contains(c, array_to_string(w[i:i + 3], ' ')))) / (len(w) - 3)::DOUBLE END, 6) AS faithfulness FROM x",
     "cache_key": "SELECT doc_id, sha256('hash-64::passage::' || text) AS cache_key FROM documents",

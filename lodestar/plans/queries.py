@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import chunkers as C
 from ..operators import index as I
 from ..operators import retrieve as R
+from ..operators import rewrite as Q
 from ..sources import readers as S
 
 #: The stated text queries, and the ids of the stated query vectors.
@@ -300,6 +301,24 @@ def leaderboard(spark, sf):
     return out.withColumn("place", F.rank().over(W.orderBy(F.desc("recall_at_1"), F.desc("mrr")))).select("method", "recall_at_1", "mrr", "place")
 
 
+def method_diff(spark, sf):
+    gold = _gold(spark, sf)
+    texts = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    per = [R.evaluate(gold, I.search_text(docs(spark, sf), gold, K, m).join(gold, "query_id").join(texts, "chunk_id").withColumn("relevant", R.is_relevant(F.col("content"), F.col("gold")))) for m in ("bm25", "tfidf")]
+    return Q.method_diff(per[:1], per[1])
+
+
+def rewrite_search(spark, sf):
+    """The stated queries without articles, as a model's reply."""
+    q = Q.rewritten(text_queries(spark), lambda prompt: F.regexp_replace(F.regexp_extract(prompt, "Question: (.*)", 1), r"\b(the|der|die|la|los)\b", " "))
+    return _ranked(I.search_text(docs(spark, sf), q, K))
+
+
+def embedding_cost(spark, sf):
+    e = t(spark, sf, "embeddings").groupBy(F.col("label").cast("string").alias("name")).agg(F.max(F.size("embedding")).alias("dimension"), F.round(F.count(F.lit(1)) / 8.0, 3).alias("ms_per_chunk"))
+    return Q.embedding_cost(e)
+
+
 def faithfulness_4gram(spark, sf):
     c = t(spark, sf, "conversations")
     first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("context"))
@@ -417,5 +436,6 @@ QUERIES = {
     "csv_row_template": csv_row_template, "csv_file_table": csv_file_table, "transcript_segments": lambda s, d: S.transcript_segments(_segments(s, d)), "transcript_full": lambda s, d: S.transcript_full(_segments(s, d)), "url_video_id": url_video_id, "route_source": route_source, "html_title": html_title, "html_extract": html_extract,
     "is_relevant": is_relevant, "eval_recall_mrr": eval_recall_mrr, "eval_by_source": eval_by_source, "leaderboard": leaderboard, "faithfulness_4gram": faithfulness_4gram, "cache_key": cache_key, "cache_misses": cache_misses, "cache_stats": cache_stats, "index_upsert": index_upsert, "index_delete": index_delete,
     "ivf_centroids": ivf_centroids, "ivf_search": ivf_search, "ann_lsh": ann_lsh, "raptor_level1": raptor_level1, "raptor_tree": raptor_tree, "raptor_stats": raptor_stats, "raptor_search": raptor_search, "crag_overlap": crag_overlap, "crag_route": crag_route, "self_rag_filter": self_rag_filter, "agentic_union": agentic_union,
+    "method_diff": method_diff, "rewrite_search": rewrite_search, "embedding_cost": embedding_cost,
     "embed_prefix": embed_prefix, "embed_batches": embed_batches, "md_sections": md_sections,
 }
