@@ -35,10 +35,11 @@ class Transducer:
         return cls._open[path]
 
     def compile(self, states) -> None:
-        new = [w for w in set(states) if w not in self.emits]
+        states = set(states)
+        new = [w for w in states if w not in self.emits]
         if len(self.emits) + len(new) > self.keep:  # a bound on memory; what is needed is compiled again
             self.emits = {b"": 0}
-            new = list(set(states) - {b""})
+            new = list(states - {b""})
         for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
             self.emits[w] = len(e.ids)
 

@@ -290,3 +290,13 @@ def test_lexicon_starts_anew(monkeypatch):
     words.learn(iter([b"one", b"two"]))
     words.learn(iter([b"three", b"four"]))
     assert set(words.words) == {b"three", b"four"}
+
+
+def test_transducer_starts_anew():
+    """Beyond its bound the transducer forgets, and still compiles the states at hand."""
+    from lodestar.llm.token_counts import Transducer
+
+    t = Transducer(vocabulary_path(), keep=4)
+    t.compile(iter([b"one", b"two"]))
+    t.compile(iter([b"three", b"four"]))
+    assert set(t.emits) == {b"", b"three", b"four"}
