@@ -1,9 +1,9 @@
 """Personal data, and information-theoretic sanitisation of the terms that give it away.
 
-Entities (e-mail addresses, IP addresses, card and phone numbers) are found by pattern and check. They are what has to be protected. A term (a word of letters) near an entity may reveal it: if the term stands in c of the df texts that have it together with entity e, then it tells PMI(t; e) = log2(c / df) + IC(e) bits of the IC(e) = -log2 p(e) bits that name e.
-The share PMI / IC is the term's disclosure. From GENERALISE on a term is generalised, from REMOVE on it is removed; at least SUPPORT different texts must hold both. All counts are over all texts.
+Entities (e-mail addresses, IP addresses, card and phone numbers) are found by pattern and check. They are what has to be protected. A term (a word of letters) in a text with an entity may reveal it: if c of the df rows that have the term have entity e too, then it tells PMI(t; e) = log2(p(e|t) / p(e)) bits of the IC(e) = -log2 p(e) bits that name e.
+p(e|t) is estimated as (c + SMOOTH p(e)) / (df + SMOOTH), so a term seen seldom tells less than its bare counts say. The share PMI / IC is the term's disclosure, the largest over all entities that it stands with. From GENERALISE on a term is generalised, from REMOVE on it is removed. All counts are over all rows, and all terms of a text count, at any distance from the entity.
 
-Three scans: entities with the terms around them; document frequencies of the terms that stand with an entity in enough texts; occurrences of the revealing terms. Terms are 64-bit hashes. A bitmap of fixed size tells the later scans which words can matter; an exact join follows.
+Three scans: entities and the terms of texts that have one; document frequencies of those terms; occurrences of the revealing terms. Entities of one text only have the same counts with each of its terms, so they are one entity there; pairs are counted for the others. Terms are 64-bit hashes. A bitmap of fixed size tells the later scans which words can matter; an exact join follows.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-#: Terms on either side of an entity that count as near; the shortest term in bytes.
-NEAR, SHORTEST = 6, 4
-SUPPORT, GENERALISE, REMOVE = 3, 0.97, 0.99
+#: The shortest term in bytes.
+SHORTEST = 4
+#: Rows that the prior counts for; shares of an entity's bits from which on a term is generalised, removed.
+SMOOTH, GENERALISE, REMOVE = 1.0, 0.8, 0.9
 #: Bits of the bitmaps, a power of two.
 BITMAP = 1 << 23
 _DIGIT = re.compile(r"[0-9]")
@@ -87,30 +88,23 @@ def _terms(texts: list[bytes]):
     return h[long].view(np.int64), owner[long], start[long], end[long], text_at
 
 
-def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Distinct (entity, term) of a text: terms next to an entity, none that is part of one."""
+def _together(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Distinct entities and terms of a text; an occurrence that is part of an entity is no term."""
     data = text.encode()
     h, _, start, end, _ = _terms([data])
     at = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # code points up to each byte
     first, last = at[start] - 1 if len(start) else start, at[end - 1] if len(end) else end
     free = np.ones(len(h), bool)
     for _, a, b in spans:
-        free &= (last <= a) | (first >= b)
-    h, first = h[free], first[free]
-    out = set()
-    for kind, a, b in spans:
-        e = _hash(f"{kind}:{re.sub(r'[^a-z0-9@.+]', '', text[a:b].lower())}".encode())
-        i = int(np.searchsorted(first, a))
-        out.update((e, t) for t in h[max(0, i - NEAR) : i + NEAR].tolist())
-    return sorted(out)
+        free[np.searchsorted(last, a, "right") : np.searchsorted(first, b)] = False
+    e = {_hash(f"{kind}:{re.sub(r'[^a-z0-9@.+]', '', text[a:b].lower())}".encode()) for kind, a, b in spans}
+    return sorted(e), np.unique(h[free]).tolist()
 
 
-_FOUND = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<e:long,t:long>>"
+_FOUND = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, es array<long>, ts array<long>"
 
 
 def _find(df: DataFrame) -> DataFrame:
-    near = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())]))
-
     def run(batches):
         for batch in batches:
             rows = []
@@ -118,10 +112,9 @@ def _find(df: DataFrame) -> DataFrame:
                 text = x.as_py()
                 spans = entities(text)
                 n = [sum(k == s[0] for s in spans) for k in KINDS]
-                pairs = _near(text, spans) if spans else []
-                rows.append((_hash(text.encode()), *n, ",".join(f"{k}:{a}:{b}" for k, a, b in spans), [{"e": e, "t": t} for e, t in pairs]))
-            kinds = [pa.int64()] * 5 + [pa.string(), near]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
+                rows.append((_hash(text.encode()), *n, ",".join(f"{k}:{a}:{b}" for k, a, b in spans), *(_together(text, spans) if spans else ([], []))))
+            kinds = [pa.int64()] * 5 + [pa.string(), *[pa.list_(pa.int64())] * 2]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", "es", "ts"])
 
     return df.mapInArrow(thrifty(run), _FOUND)
 
@@ -151,6 +144,10 @@ def _frequencies(df: DataFrame, bitmap: np.ndarray) -> DataFrame:
             t, where = np.unique(np.concatenate(seen or [np.zeros(0, np.int64)]), return_inverse=True)
             return t, np.bincount(where, weights=np.concatenate(many or [np.zeros(0)]), minlength=len(t))
 
+        def out(t, n):
+            for a in range(0, len(t), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(t[a : a + (1 << 16)], pa.int64()), pa.array(n[a : a + (1 << 16)].astype(np.int64), pa.int64())], names=["t", "n"])
+
         for batch in batches:
             texts = [x.as_py() for x in batch.column(1).cast(pa.binary())]
             for some in by_bytes(texts):
@@ -167,9 +164,10 @@ def _frequencies(df: DataFrame, bitmap: np.ndarray) -> DataFrame:
             if held > 1 << 21:
                 t, n = merged()
                 seen, many, held = [t], [n], len(t)
-        t, n = merged()
-        for a in range(0, len(t), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(t[a : a + (1 << 16)], pa.int64()), pa.array(n[a : a + (1 << 16)].astype(np.int64), pa.int64())], names=["t", "n"])
+            if held > 1 << 20 and len(seen) == 1:  # too many different terms to keep: their counts so far go out
+                yield from out(*merged())
+                seen, many, held = [], [], 0
+        yield from out(*merged())
 
     return df.mapInArrow(thrifty(run), "t long, n long").groupBy("t").agg(F.sum("n").alias("df"))
 
@@ -194,25 +192,35 @@ def _occurrences(df: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return df.mapInArrow(thrifty(run), "doc_id long, text_key long, t long, start long, end long")
 
 
-def revealing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def _pair_counts(found: DataFrame) -> DataFrame:
+    """(t, c, n_e): each term with the different counts of its entities, c the rows that have both, n_e the entity's rows."""
+    rows = found.where("size(es) > 0").select("text_key", "es", "ts")
+    of = rows.select("text_key", F.explode("es").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"), F.min("text_key").alias("text_key"), F.max("text_key").alias("last"))
+    of = written(of, "entity-rows")
+    # all rows of an entity that one text has are rows of each of its terms
+    alone = of.where("text_key = last").select("text_key", "n_e").distinct()
+    one = rows.select("text_key", "ts").dropDuplicates(["text_key"]).join(alone, "text_key").select(F.explode("ts").alias("t"), F.col("n_e").alias("c"), "n_e")
+    more = rows.select(F.explode("es").alias("e"), "ts").join(of.where("text_key <> last").select("e", "n_e"), "e").select("e", "n_e", F.explode("ts").alias("t"))
+    more = more.groupBy("e", "t").agg(F.count(F.lit(1)).alias("c"), F.first("n_e").alias("n_e")).select("t", "c", "n_e")
+    return one.unionByName(more).distinct()
+
+
+def revealing_terms(found: DataFrame, docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, smooth: float = SMOOTH) -> DataFrame:
     """(t, disclosure, action) of the terms to generalise or remove."""
-    pairs = found.select("text_key", F.explode("near").alias("x")).select("text_key", "x.e", "x.t")
-    each = pairs.groupBy("e", "t", "text_key").agg(F.count(F.lit(1)).alias("rows"))
-    strong = each.groupBy("e", "t").agg(F.sum("rows").alias("c"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    strong = written(strong.select("e", "t", "c"), "pairs")
-    of_entity = pairs.select("text_key", "e").distinct().join(found.groupBy("text_key").agg(F.count(F.lit(1)).alias("rows")), "text_key").groupBy("e").agg(F.sum("rows").alias("n_e"))
+    pairs = written(_pair_counts(found), "pairs")
     n = float(found.count())
-    frequency = _frequencies(docs, _bitmap(strong.select("t").distinct()))
-    bits = -F.log2(F.col("n_e") / F.lit(max(n, 1.0)))
-    share = F.when(bits > 0, 1 + F.log2(F.col("c") / F.col("df")) / bits).otherwise(F.lit(0.0))
-    told = strong.join(of_entity, "e").join(frequency, "t").withColumn("disclosure", share).groupBy("t").agg(F.max("disclosure").alias("disclosure"))
+    frequency = _frequencies(docs, _bitmap(pairs.select("t").distinct()))
+    p = F.col("n_e") / F.lit(max(n, 1.0))
+    bits = -F.log2(p)
+    share = F.when(bits > 0, 1 + F.log2((F.col("c") + smooth * p) / (F.col("df") + smooth)) / bits).otherwise(F.lit(0.0))
+    told = pairs.join(frequency, "t").withColumn("disclosure", share).groupBy("t").agg(F.max("disclosure").alias("disclosure"))
     return told.where(F.col("disclosure") >= generalise).withColumn("action", F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalise")))
 
 
 def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, n_email, n_ip, n_card, n_phone, base, terms) of each row: base is the entities as kind:start:end, terms the revealing terms' (start, end, action).
 
-    A null text is empty and has no spans. Repeated rows stay and each has its spans; they count as one text for support. An empty table gives no rows; other columns of df are not read. Texts of any length are taken whole.
+    A null text is empty and has no spans. Repeated rows stay, each has its spans and each counts. An empty table gives no rows; other columns of df are not read. Texts of any length are taken whole.
     """
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -220,7 +228,7 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     terms = written(revealing_terms(found, docs), "terms")
     hits = _occurrences(docs, _bitmap(terms)).join(terms.select("t", "action"), "t").select("doc_id", "text_key", F.struct("start", "end", "action").alias("x")).distinct()
     hits = hits.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.array_sort(F.collect_list("x")).alias("terms"))
-    out = found.drop("near").join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").drop("d", "k")
+    out = found.drop("es", "ts").join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").drop("d", "k")
     return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,action:string>>")))
 
 

@@ -223,6 +223,35 @@ def test_revealing_terms(spark):
     assert "zanzibarius" in words and "common" not in words and all(not got[10 + i].terms for i in range(60))
 
 
+def test_all_revealing_terms(spark):
+    """Terms of entities seen once or twice, far from them, in copies and beside common words, against brute force over all pairs."""
+    rng = np.random.default_rng(4)
+    letters = lambda n: "".join(chr(97 + int(x)) for x in str(n))
+    common, rows = [f"common{letters(k)}" for k in range(30)], []
+    for i in range(300):
+        w = list(rng.choice(common, 12)) + [f"seldom{letters(int(rng.integers(40)))}"] * (i % 3 == 0) + [f"single{letters(i)}"]
+        w += [f"who{i}@host{i}.org"] * (i % 10 == 0) + ["twice@host.org"] * (i in (7, 8)) + ["often@host.org"] * (i % 50 == 3)
+        rows.append((i, " ".join(w), "a"))
+    rows += [(1000, rows[10][1], "a"), (1001, rows[10][1], "a"), (1002, rows[7][1], "a")]
+    own, at, entity = lambda x: {w for w in x.split() if "@" not in w}, lambda x: {w for w in x.split() if "@" in w}, {}
+    df, n = Counter(w for _, x, _ in rows for w in own(x)), len(rows)
+    for _, x, _ in rows:
+        entity.update({e: entity.get(e, 0) + 1 for e in at(x)})
+    both, want = Counter((e, w) for _, x, _ in rows for e in at(x) for w in own(x)), {}
+    for (e, w), c in both.items():
+        p = entity[e] / n
+        share = 1 + np.log2((c + p) / (df[w] + 1)) / -np.log2(p)
+        want[w] = max(share, want.get(w, 0.0))
+    want = {w: "remove" if d >= pii.REMOVE else "generalise" for w, d in want.items() if d >= pii.GENERALISE}
+    got = {}
+    for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        text = next(x for i, x, _ in rows if i == r.doc_id)
+        found = {text[x["start"] : x["end"]]: x["action"] for x in r.terms}
+        assert set(found) == own(text) & set(want)
+        got |= found
+    assert got == want and {f"single{letters(0)}", f"single{letters(10)}", f"single{letters(7)}", f"single{letters(8)}"} <= set(got) and not set(common) & set(got)
+
+
 def test_quality(docs):
     got = {r.doc_id: r for r in quality.judge(quality.statistics(docs), quality.DecisionList()).collect()}
     for i, t, _ in TEXTS:
