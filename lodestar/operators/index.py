@@ -86,6 +86,27 @@ def search_dense(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str
     return top_k(scored, k, by)
 
 
+def query_blocks(queries: DataFrame, block: int = 5_000) -> list[DataFrame]:
+    """Any number of queries (query_id, ...) as blocks of about `block`, for searches that take a stated set."""
+    blocks = -(-queries.count() // block)
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
+
+
+def in_blocks(search, queries: DataFrame) -> DataFrame:
+    """search(block) of all blocks of the queries."""
+    parts = [search(q) for q in query_blocks(queries)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def recall(found: DataFrame, wanted: DataFrame) -> float:
+    """The share of the wanted (query_id, chunk_id) that were found."""
+    both = wanted.select("query_id", "chunk_id").join(found.select("query_id", "chunk_id").withColumn("_hit", F.lit(1)), ["query_id", "chunk_id"], "left")
+    return both.agg(F.avg(F.coalesce("_hit", F.lit(0)))).first()[0]
+
+
 def normalized(v: Column, eps: float = 1e-8) -> Column:
     """v over its norm; a zero vector stays."""
     return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n < eps, F.lit(1.0)).otherwise(n)))[0]

@@ -154,3 +154,6 @@ ORACLE: dict[str, str] = {
     "self_rag_filter": f"{_search(_bm25(), 10)}, {_CAND}, x AS (SELECT query_id, chunk_id, rank, {_OVER} >= 0.75 AS relevant FROM cand), y AS (SELECT *, sum(relevant::INT) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id, relevant ORDER BY rank) AS i FROM x) SELECT query_id, chunk_id, rank, relevant, n < 1 AS fallback FROM y WHERE (n >= 1 AND relevant AND i <= 5) OR (n < 1 AND rank <= 1)",
     "embed_prefix": "SELECT doc_id, substring('passage: ' || text, 1, 40) AS passage, substring('Represent this sentence for searching relevant passages: ' || text, 1, 80) AS query FROM documents",
 }
+
+#: The same searches with every vector whose id is divisible by 50 as a query.
+ORACLE |= {f"{name}_all": ORACLE[name].replace("vec_id IN (0, 1, 2, 3)", "vec_id % 50 = 0") for name in ("dense_topk", "dense_cosine", "dense_l2", "tenant_topk")}

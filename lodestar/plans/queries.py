@@ -38,6 +38,12 @@ def vector_queries(spark, sf, ids=VECTOR_IDS):
     return t(spark, sf, "embeddings").where(F.col("vec_id").isin(*ids)).select(F.concat(F.lit("q"), (F.col("vec_id") + 1).cast("string")).alias("query_id"), F.col("embedding").alias("qvec"), F.col("vec_id").alias("own"))
 
 
+def every_50th(spark, sf):
+    """The vectors whose id is divisible by 50, as queries."""
+    e = t(spark, sf, "embeddings").where("vec_id % 50 = 0")
+    return e.select(F.concat(F.lit("q"), (F.col("vec_id") + 1).cast("string")).alias("query_id"), F.col("embedding").alias("qvec"))
+
+
 def _ranked(df):
     return df.select("query_id", "chunk_id", "score", "rank")
 
@@ -80,8 +86,22 @@ def _dense(metric):
     return lambda spark, sf: _ranked(I.search_dense(vectors(spark, sf), vector_queries(spark, sf).drop("own"), K, metric))
 
 
+def _dense_all(metric):
+    """Every 50th vector against all rows."""
+    return lambda spark, sf: _ranked(I.in_blocks(lambda q: I.search_dense(vectors(spark, sf), q, K, metric), every_50th(spark, sf)))
+
+
+def _tenants(spark, sf):
+    return vectors(spark, sf).withColumn("tenant_id", F.concat(F.lit("t"), F.pmod("chunk_id", F.lit(3)).cast("string")))
+
+
+def tenant_topk_all(spark, sf):
+    found = I.in_blocks(lambda q: I.search_dense(_tenants(spark, sf), q, 3, by=("query_id", "tenant_id")), every_50th(spark, sf))
+    return found.select("query_id", "tenant_id", "chunk_id", "score", "rank")
+
+
 def tenant_topk(spark, sf):
-    v = vectors(spark, sf).withColumn("tenant_id", F.concat(F.lit("t"), F.pmod("chunk_id", F.lit(3)).cast("string")))
+    v = _tenants(spark, sf)
     return I.search_dense(v, vector_queries(spark, sf).drop("own"), 3, by=("query_id", "tenant_id")).select("query_id", "tenant_id", "chunk_id", "score", "rank")
 
 
@@ -357,9 +377,18 @@ def ivf_search(spark, sf):
     return _ranked(I.search_ivf(vectors(spark, sf), vector_queries(spark, sf).drop("own"), K))
 
 
-def ann_lsh(spark, sf):
-    """Approximate search over k-means cells: the stand-in for a graph index."""
-    return _ranked(I.search_ivf(I.kmeans_cells(vectors(spark, sf).drop("cell"), 10), vector_queries(spark, sf).drop("own"), K, nprobe=4))
+def _trained(cells, nprobe):
+    """Search of every 50th vector in k-means cells trained on all rows."""
+
+    def run(spark, sf):
+        index = I.kmeans_cells(vectors(spark, sf).drop("cell"), cells)
+        return _ranked(I.in_blocks(lambda q: I.search_ivf(index, q, K, nprobe), every_50th(spark, sf)))
+
+    return run
+
+
+#: Cells and the cells that a query looks into; tests/test_recall.py holds their recall@5.
+IVF, ANN = (16, 10), (10, 7)
 
 
 def _raptor(spark, sf):
@@ -387,7 +416,7 @@ def raptor_stats(spark, sf):
 
 def raptor_search(spark, sf):
     a, b, c = _raptor(spark, sf)
-    return _ranked(I.search_dense(a.unionByName(b).unionByName(c).drop("cell", "level"), vector_queries(spark, sf).drop("own"), K))
+    return _ranked(I.in_blocks(lambda q: I.search_dense(a.unionByName(b).unionByName(c).drop("cell", "level"), q, K), every_50th(spark, sf)))
 
 
 def crag_overlap(spark, sf):
@@ -428,14 +457,14 @@ def md_sections(spark, sf):
 
 QUERIES = {
     "tokenize": tokenize, "tfidf_postings": tfidf_postings, "tfidf_search": tfidf_search, "bm25_postings": bm25_postings, "bm25_search": bm25_search, "bm25_param_grid": bm25_param_grid, "index_stats": index_stats,
-    "dense_topk": _dense("ip"), "dense_cosine": _dense("cosine"), "dense_l2": _dense("l2"), "tenant_topk": tenant_topk, "vec_normalize": vec_normalize, "vec_norm_audit": vec_norm_audit, "hybrid_rrf": _hybrid(1.0, 1.0), "hybrid_rrf_weighted": _hybrid(2.0, 0.5),
+    "dense_topk": _dense("ip"), "dense_cosine": _dense("cosine"), "dense_l2": _dense("l2"), "tenant_topk": tenant_topk, "dense_topk_all": _dense_all("ip"), "dense_cosine_all": _dense_all("cosine"), "dense_l2_all": _dense_all("l2"), "tenant_topk_all": tenant_topk_all, "vec_normalize": vec_normalize, "vec_norm_audit": vec_norm_audit, "hybrid_rrf": _hybrid(1.0, 1.0), "hybrid_rrf_weighted": _hybrid(2.0, 0.5),
     "filtered_post": _filtered("post"), "filtered_pre": _filtered("pre"), "filtered_boost": _filtered("boost"), "metadata_filter": metadata_filter, "multi_query_rr": multi_query_rr, "multi_hop_merge": multi_hop_merge, "rerank_overlap": rerank_overlap, "rerank_listwise": rerank_listwise,
     "parse_score": parse_score, "parse_ranking": parse_ranking, "parse_variants": parse_variants, "parse_react": parse_react, "rewrite_fallback": rewrite_fallback, "build_prompt": build_prompt,
     "chunk_overlapping": chunk_overlapping, "chunk_recursive": _chunks(C.chunk_recursive, "chunk_index"), "chunk_parent_child": _chunks(C.chunk_parent_child, "parent_index", "child_index_in_parent", "parent_chars"), "chunk_adaptive": _chunks(C.chunk_adaptive, "chunk_index", "density_score", "target_size"), "chunk_metadata_aware": chunk_metadata_aware,
     "chunk_semantic_breaks": chunk_semantic_breaks, "chunk_size_stats": chunk_size_stats, "boundary_quality": boundary_quality, "density_score": density_score, "doc_stats": doc_stats, "clean_text": clean_text, "lang_gate": lang_gate,
     "csv_row_template": csv_row_template, "csv_file_table": csv_file_table, "transcript_segments": lambda s, d: S.transcript_segments(_segments(s, d)), "transcript_full": lambda s, d: S.transcript_full(_segments(s, d)), "url_video_id": url_video_id, "route_source": route_source, "html_title": html_title, "html_extract": html_extract,
     "is_relevant": is_relevant, "eval_recall_mrr": eval_recall_mrr, "eval_by_source": eval_by_source, "leaderboard": leaderboard, "faithfulness_4gram": faithfulness_4gram, "cache_key": cache_key, "cache_misses": cache_misses, "cache_stats": cache_stats, "index_upsert": index_upsert, "index_delete": index_delete,
-    "ivf_centroids": ivf_centroids, "ivf_search": ivf_search, "ann_lsh": ann_lsh, "raptor_level1": raptor_level1, "raptor_tree": raptor_tree, "raptor_stats": raptor_stats, "raptor_search": raptor_search, "crag_overlap": crag_overlap, "crag_route": crag_route, "self_rag_filter": self_rag_filter, "agentic_union": agentic_union,
+    "ivf_centroids": ivf_centroids, "ivf_search": ivf_search, "ivf_search_all": _trained(*IVF), "ann_lsh": _trained(*ANN), "raptor_level1": raptor_level1, "raptor_tree": raptor_tree, "raptor_stats": raptor_stats, "raptor_search": raptor_search, "crag_overlap": crag_overlap, "crag_route": crag_route, "self_rag_filter": self_rag_filter, "agentic_union": agentic_union,
     "method_diff": method_diff, "rewrite_search": rewrite_search, "embedding_cost": embedding_cost,
     "embed_prefix": embed_prefix, "embed_batches": embed_batches, "md_sections": md_sections,
 }
