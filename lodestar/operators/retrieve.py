@@ -138,8 +138,10 @@ def evaluate(gold: DataFrame, ranked: DataFrame, k_values=(1, 3, 5)) -> DataFram
 
 def hash_embed(text: Column, dim: int = 64) -> Column:
     """The offline default embedder: token hashes with signs, summed into dim bins and normalised. Stays in the JVM."""
-    hashed = F.transform(tokenize(text), lambda t: F.xxhash64(t))
-    bins = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(hashed, F.lit(0.0), lambda a, h: a + F.when(F.pmod(h, F.lit(dim)) == d, F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))).otherwise(F.lit(0.0))))
+    # one pass over the tokens gives each its bin and sign as one number; the passes that count them are over numbers only
+    codes = F.transform(tokenize(text), lambda t: bound(F.xxhash64(t), lambda h: F.pmod(h, F.lit(dim)) * 2 + F.pmod(F.shiftright(h, 32), F.lit(2))))
+    n_but = lambda c, code: F.size(F.array_remove(c, code))
+    bins = bound(codes, lambda c: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda d: (n_but(c, d * 2 + 1) - n_but(c, d * 2)).cast("double")))
     from .index import normalized
 
     return bound(bins, lambda b: normalized(b))

@@ -157,3 +157,5 @@ ORACLE: dict[str, str] = {
 
 #: The same searches with every vector whose id is divisible by 50 as a query.
 ORACLE |= {f"{name}_all": ORACLE[name].replace("vec_id IN (0, 1, 2, 3)", "vec_id % 50 = 0") for name in ("dense_topk", "dense_cosine", "dense_l2", "tenant_topk")}
+#: Prompts of whole passages.
+ORACLE["build_prompt_whole"] = ORACLE["build_prompt"].replace("substring(content, 1, 200)", "content")

@@ -203,6 +203,11 @@ def build_prompt(spark, sf):
     return R.prompt(_candidates(spark, sf, 3).withColumn("content", F.substring("content", 1, 200)))
 
 
+def build_prompt_whole(spark, sf):
+    """Prompts of whole passages; build_prompt's SQL states their first 200 characters."""
+    return R.prompt(_candidates(spark, sf, 3))
+
+
 def chunk_overlapping(spark, sf):
     return C.chunk_overlapping(docs(spark, sf)).select("doc_id", "chunk_index", "start_index", "end_index", "chunk_size_chars", F.md5("content").alias("content_md5"))
 
@@ -446,8 +451,8 @@ def embed_prefix(spark, sf):
 
 
 def embed_batches(spark, sf):
-    e = docs(spark, sf).select("doc_id", F.when(~T.is_blank(F.col("text")), R.hash_embed(F.substring("text", 1, 2000))).alias("v"))
-    return e.select("doc_id", F.round(I.norm(F.col("v")), 4).alias("norm"), F.size("v").alias("dimension"))
+    e = docs(spark, sf).select("doc_id", F.when(~T.is_blank(F.col("text")), R.hash_embed(F.col("text"))).alias("v"))
+    return e.select("doc_id", F.round(I.norm(F.col("v")), 4).alias("norm"), F.size("v").alias("dimension"), F.transform("v", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 def md_sections(spark, sf):
@@ -459,7 +464,7 @@ QUERIES = {
     "tokenize": tokenize, "tfidf_postings": tfidf_postings, "tfidf_search": tfidf_search, "bm25_postings": bm25_postings, "bm25_search": bm25_search, "bm25_param_grid": bm25_param_grid, "index_stats": index_stats,
     "dense_topk": _dense("ip"), "dense_cosine": _dense("cosine"), "dense_l2": _dense("l2"), "tenant_topk": tenant_topk, "dense_topk_all": _dense_all("ip"), "dense_cosine_all": _dense_all("cosine"), "dense_l2_all": _dense_all("l2"), "tenant_topk_all": tenant_topk_all, "vec_normalize": vec_normalize, "vec_norm_audit": vec_norm_audit, "hybrid_rrf": _hybrid(1.0, 1.0), "hybrid_rrf_weighted": _hybrid(2.0, 0.5),
     "filtered_post": _filtered("post"), "filtered_pre": _filtered("pre"), "filtered_boost": _filtered("boost"), "metadata_filter": metadata_filter, "multi_query_rr": multi_query_rr, "multi_hop_merge": multi_hop_merge, "rerank_overlap": rerank_overlap, "rerank_listwise": rerank_listwise,
-    "parse_score": parse_score, "parse_ranking": parse_ranking, "parse_variants": parse_variants, "parse_react": parse_react, "rewrite_fallback": rewrite_fallback, "build_prompt": build_prompt,
+    "parse_score": parse_score, "parse_ranking": parse_ranking, "parse_variants": parse_variants, "parse_react": parse_react, "rewrite_fallback": rewrite_fallback, "build_prompt": build_prompt, "build_prompt_whole": build_prompt_whole,
     "chunk_overlapping": chunk_overlapping, "chunk_recursive": _chunks(C.chunk_recursive, "chunk_index"), "chunk_parent_child": _chunks(C.chunk_parent_child, "parent_index", "child_index_in_parent", "parent_chars"), "chunk_adaptive": _chunks(C.chunk_adaptive, "chunk_index", "density_score", "target_size"), "chunk_metadata_aware": chunk_metadata_aware,
     "chunk_semantic_breaks": chunk_semantic_breaks, "chunk_size_stats": chunk_size_stats, "boundary_quality": boundary_quality, "density_score": density_score, "doc_stats": doc_stats, "clean_text": clean_text, "lang_gate": lang_gate,
     "csv_row_template": csv_row_template, "csv_file_table": csv_file_table, "transcript_segments": lambda s, d: S.transcript_segments(_segments(s, d)), "transcript_full": lambda s, d: S.transcript_full(_segments(s, d)), "url_video_id": url_video_id, "route_source": route_source, "html_title": html_title, "html_extract": html_extract,

@@ -56,3 +56,21 @@ def test_ingest(spark, tmp_path):
     assert {x[:2] for x in first} == {(1, 2), (2, 1)} and dict((d, n) for d, _, n in first)[1] > 1
     arrive((1, 1, "late and old"), (2, 2, ""), (3, 2, "three"))
     assert read() == {x for x in first if x[0] == 1} | {(3, 2, 1)}
+
+
+def test_embed_batches_takes_whole_texts(spark, tmp_path):
+    """Against tokens exploded and added up, on texts longer than any prefix, with a blank and a null one."""
+    from lodestar.functions.text import tokenize
+    from lodestar.plans.queries import QUERIES
+
+    texts = [(1, "alpha beta " * 300 + " ".join(f"late{i}" for i in range(3000))), (2, "short one"), (3, " \n"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.embedding for r in QUERIES["embed_batches"](spark, str(tmp_path)).collect()}
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", F.explode(tokenize(F.col("text"))).alias("w")).select("doc_id", F.xxhash64("w").alias("h")).collect()
+    want = {1: [0.0] * 64, 2: [0.0] * 64}
+    for r in rows:
+        want[r.doc_id][r.h % 64] += 1 - 2 * ((r.h >> 32) % 2)
+    for i, v in want.items():
+        n = sum(x * x for x in v) ** 0.5
+        assert got[i] == pytest.approx([x / n for x in v], abs=2e-6)
+    assert got[3] is None and got[4] is None
