@@ -4,7 +4,7 @@
 2. Candidates, without loss. Sets are put into size bands. In a band, tokens are dealt by hash into so many parts that two sets which link must agree in more parts than either leaves out: sets of at most U tokens with Jaccard similarity num/den or more differ in at most d = 2U(den-num)/(den+num) tokens, so of d + 1 + e parts they agree in at least e + 1. A set leaves out its sparsest parts, e at most, by a bound on their
    size that keeps all parts as full; the fullest part in which two sets agree is then kept by both. A key is a part's content. A set near its band's end is also dealt by the next band's rule, so pairs across two bands meet too. Keys are packed into arrays, a row for each bucket of keys and task.
    The classes under one key are a block; blocks with the same classes are one. In a block, two sets whose sketches differ by more than linked sets can differ are no candidates; the rest is joined from class to class, each looked at once against those not reached yet. So a passage that many documents share makes no candidates of them.
-3. Links. Each candidate group's texts (one per class) come together; a signature tree finds the pairs that link. A group too large for one task is dealt into chunks, each pair of chunks is one task, and what they link is merged.
+3. Links. Each candidate group's texts (one per class) come together; a signature tree finds all pairs that link, or, where only groups are asked for, as many as join them. A group too large for one task is dealt into chunks, each pair of chunks is one task, and what they link is merged.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ BUCKET_KEYS = 1 << 21
 EMIT_KEYS, BLOCK_ROWS = 1 << 20, 1 << 17
 #: A candidate group of more texts or bytes is dealt into chunks.
 GROUP_TEXTS, GROUP_BYTES = 8192, 48 << 20
+#: The same where the pairs themselves go out.
+PAIR_TEXTS = 2048
 #: Ids that are broadcast at most (8 bytes each); beyond, texts are found by a shuffled join.
 BROADCAST_IDS = 1 << 18
 
@@ -204,36 +206,62 @@ def candidate_edges(blocks: DataFrame, classes: DataFrame, num: int, den: int) -
     return blocks.join(classes, "cls").withColumn("task", F.pmod("block", F.lit(tasks))).groupBy("task").applyInArrow(thrifty_group(run), "a long, b long")
 
 
-def _verify(n: int, num: int, den: int):
+def _tree(pdf: pd.DataFrame, n: int, num: int, den: int) -> tuple[list[int], SignatureTree, np.ndarray, np.ndarray | None]:
+    """A task's classes in order, their tree, their rows, and their chunks if only links between chunks are the task's."""
+    texts = [t.encode() for t in pdf["text"]]
+    sets = [s for some in by_bytes(texts) for s in sets_of(some, n)]
+    by_class = {class_of(s): s for s in sets if len(s)}
+    names = sorted(set(pdf["cls"]) & by_class.keys())
+    rows, chunk = dict(zip(pdf["cls"], pdf["rows"])), dict(zip(pdf["cls"], pdf["chunk"]))
+    task = pdf["task"].iloc[0]
+    side = np.array([chunk[c] for c in names]) if task["i"] != task["j"] else None
+    return names, SignatureTree([by_class[c] for c in names], num, den), np.array([rows[c] for c in names], np.int64), side
+
+
+def _verify(n: int, num: int, den: int, count: bool):
+    """Edges (a, b) from each class to the smallest of its group, and with count=True the rows of other classes that a links with."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = [t.encode() for t in pdf["text"]]
-        sets = [s for some in by_bytes(texts) for s in sets_of(some, n)]
-        by_class = {class_of(s): s for s in sets if len(s)}
-        names = sorted(set(pdf["cls"]) & by_class.keys())
-        group = SignatureTree([by_class[c] for c in names], num, den).groups()
+        names, tree, rows, side = _tree(pdf, n, num, den)
+        linked = np.zeros(len(names), np.int64)
+        if count:
+            for i, j, _ in tree.links(side):
+                np.add.at(linked, i, rows[j])
+                np.add.at(linked, j, rows[i])
+            group = tree.joined()
+        else:
+            group = tree.groups()
         least: dict[int, int] = {}
         for c, g in zip(names, group.tolist()):
             least.setdefault(g, c)
-        return pd.DataFrame({"a": pd.Series(names, dtype="int64"), "b": pd.Series([least[g] for g in group.tolist()], dtype="int64")})
+        return pd.DataFrame({"a": pd.Series(names, dtype="int64"), "b": pd.Series([least[g] for g in group.tolist()], dtype="int64"), "linked": pd.Series(linked, dtype="int64")})
 
     return run
 
 
-def linked_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group_texts: int = GROUP_TEXTS, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row.
+def _pairs(n: int, num: int, den: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, tree, _, side = _tree(pdf, n, num, den)
+        name, sizes = np.array(names, np.int64), np.array([len(s) for s in tree.sets], np.int64)
+        size = np.empty(len(sizes), np.int64)
+        size[tree.order] = sizes
+        i, j, both = (np.concatenate(x) for x in zip(*(list(tree.links(side)) or [(np.zeros(0, np.int64),) * 3])))
+        return pd.DataFrame({"a": name[i], "b": name[j], "shared": both, "n_union": size[i] + size[j] - both})
 
-    A row's set are its distinct n-word shingles (A to Z like a to z; words end at ASCII white space); with fewer words the whole sequence is one. Two rows link if den * shared >= num * union. component_id is the smallest id that links reach.
-    A null or empty text has no shingles and links with nothing. Equal texts have equal sets and link. Repeated rows stay. A null id never names a group unless all ids of it are null. An empty table gives no rows; other columns of df are not read.
-    """
+    return run
+
+
+def _dealt(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group_texts: int, group_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows' classes, the classes, the candidate groups' chunks, and the tasks' texts."""
     docs = written(document_classes(df, n, id_col, text_col), "classes")
     shingles = docs.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = 8
     while buckets < min(1 << 22, 0.3 * shingles / BUCKET_KEYS):
         buckets *= 2
-    classes = docs.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_bytes").alias("n_bytes"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+    classes = docs.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.max("n_bytes").alias("n_bytes"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
     blocks = written(blocks_of(df, n, num, den, buckets, text_col), "blocks")
     near = components(candidate_edges(blocks, classes.select("cls", "n_shingles", "sketch"), num, den))
-    members = near.join(classes, near["v"] == classes["cls"]).select("root", "cls", "rep", "n_bytes")
+    members = near.join(classes, near["v"] == classes["cls"]).select("root", "cls", "rep", "rows", "n_bytes")
     members = written(members, "members")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / group_texts), F.ceil(F.sum("n_bytes") / group_bytes)).cast("int").alias("chunks"))
     members = written(members.join(sizes, "root"), "members")
@@ -243,16 +271,44 @@ def linked_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
         texts = texts.join(F.broadcast(ids), "rep", "left_semi")
     chunk = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(F.col("chunk"), k).alias("i"), F.greatest(F.col("chunk"), k).alias("j")))
-    dealt = members.withColumn("chunk", chunk).withColumn("task", F.explode(tasks)).join(texts, "rep").select("root", "chunks", "task", "cls", "text")
-    links = written(dealt.groupBy("root", "task").applyInPandas(thrifty_group(_verify(n, num, den)), "a long, b long"), "links")
+    dealt = members.withColumn("chunk", chunk).withColumn("task", F.explode(tasks)).join(texts, "rep").select("root", "task", "chunk", "cls", "rows", "text")
+    return docs, classes, sizes, dealt
+
+
+def linked_pairs(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group_texts: int = PAIR_TEXTS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(cls_a, cls_b, doc_a, doc_b, shared, n_union): each pair of different shingle sets that links, once, with the smallest id of each set's rows. Rows and links are as document_links() has them; document_classes() says which rows have which set."""
+    _, classes, _, dealt = _dealt(df, n, num, den, id_col, text_col, group_texts, group_bytes)
+    pairs = written(dealt.groupBy("root", "task").applyInPandas(thrifty_group(_pairs(n, num, den)), "a long, b long, shared long, n_union long"), "pairs")
+    of = lambda x: classes.select(F.col("cls").alias(x), F.col("rep").alias(f"doc_{x}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b"), "doc_a", "doc_b", "shared", "n_union")
+
+
+def document_links(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group_texts: int = GROUP_TEXTS, group_bytes: int = GROUP_BYTES, count: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of each row.
+
+    A row's set are its distinct n-word shingles (A to Z like a to z; words end at ASCII white space); with fewer words the whole sequence is one. Two rows link if den * shared >= num * union. component_id is the smallest id that links reach, n_links the number of other rows that the row links with, copies too.
+    A null or empty text has no shingles and links with nothing. Equal texts have equal sets and link. Repeated rows stay. A null id never names a group unless all ids of it are null. An empty table gives no rows; other columns of df are not read.
+    """
+    docs, classes, sizes, dealt = _dealt(df, n, num, den, id_col, text_col, group_texts, group_bytes)
+    links = written(dealt.groupBy("root", "task").applyInPandas(thrifty_group(_verify(n, num, den, count)), "a long, b long, linked long"), "links")
     if sizes.where("chunks > 1").isEmpty():
         found = links.select(F.col("a").alias("v"), F.col("b").alias("root"))
     else:
         found = components(links)
     named = docs.join(found.select(F.col("v").alias("cls"), F.col("root").alias("g")).distinct(), "cls", "left").withColumn("g", F.coalesce("g", "cls"))
     least = named.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "g", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    out = named.join(least, "g", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+    if not count:
+        return out.select("doc_id", "n_shingles", "component_id", F.lit(None).cast("long").alias("n_links"))
+    others = classes.select("cls", "rows").join(links.groupBy(F.col("a").alias("cls")).agg(F.sum("linked").alias("linked")), "cls", "left")
+    others = others.select("cls", (F.col("rows") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return out.join(others, "cls", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def linked_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group_texts: int = GROUP_TEXTS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """document_links() without the number of links: pairs of sets that are already in one group are not compared."""
+    return document_links(df, n, num, den, id_col, text_col, group_texts, group_bytes, count=False).drop("n_links")
 
 
 def op4_ngram_jaccard(spark, sf_dir):
-    return linked_groups(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+    return document_links(table(spark, sf_dir, "documents"), n=4, num=85, den=100)

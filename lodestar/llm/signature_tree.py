@@ -1,4 +1,4 @@
-"""A signature tree over sets of 64-bit tokens, and the linked groups that its dual traversal finds.
+"""A signature tree over sets of 64-bit tokens, and the linked groups and all links that its dual traversal finds.
 
 A set's signature is a bitmap with a bit for each token. Sets are put in order of size; FAN of them form a node, FAN nodes a node of the next level. A node holds the OR of its sets' bitmaps, their smallest and largest size and fewest bits, and the most tokens that a set has beyond its bits.
 A pair of nodes is pruned if their sizes are too far apart, or if no set of one can share enough tokens with a set of the other: at most the bits that both bitmaps have, and the tokens beyond a set's bits. Pairs of sets that stay are compared token by token.
@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 FAN = 16
+#: Tokens of two leaves that are compared as matrices at most, and open pairs from which on that pays.
+TILE_TOKENS, TILE_PAIRS = 1 << 17, 6
 
 
 class Forest:
@@ -112,6 +114,52 @@ class SignatureTree:
                     n = shared(p, q)
                     if self.den * n >= self.num * (len(p) + len(q) - n):
                         self.forest.join(x, y)
+        return self.joined()
+
+    def _shared(self, rows: range, columns: range, open_: np.ndarray) -> np.ndarray:
+        """Common tokens of the open pairs of two leaves' sets."""
+        sets = [self.sets[k] for k in (*rows, *columns)]
+        if np.count_nonzero(open_) < TILE_PAIRS or sum(map(len, sets)) > TILE_TOKENS:
+            out = np.zeros(open_.shape, np.int64)
+            for x, y in np.argwhere(open_).tolist():
+                out[x, y] = shared(self.sets[rows[x]], self.sets[columns[y]])
+            return out
+        names, number = np.unique(np.concatenate(sets), return_inverse=True)
+        has = np.zeros((len(sets), len(names)), np.float32)  # counts below 2**24 are exact
+        has[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), number] = 1
+        return (has[: len(rows)] @ has[len(rows) :].T).astype(np.int64)
+
+    def links(self, side: np.ndarray | None = None):
+        """All links, leaf by leaf, as (i, j, shared) arrays of the sets' places as given; each link once. With side, only those between sets whose sides differ. joined() has the groups that they make."""
+        order, size = np.array(self.order, np.int64), self.levels[0]["low"]
+        side = None if side is None else np.asarray(side)[order]
+        top = len(self.levels) - 1
+        stack = [(top, 0, 0)] if top else []
+        while stack:
+            level, i, j = stack.pop()
+            rows, columns = self._children(level, i), self._children(level, j)
+            open_ = self._open_pairs(level - 1, rows, columns)
+            if level > 1:
+                stack += [(level - 1, rows[x], columns[y]) for x, y in np.argwhere(open_).tolist() if rows[x] <= columns[y]]
+                continue
+            r, c = np.arange(rows.start, rows.stop), np.arange(columns.start, columns.stop)
+            open_ &= r[:, None] < c[None, :]
+            if side is not None:
+                open_ &= side[r][:, None] != side[c][None, :]
+            if not open_.any():
+                continue
+            n = self._shared(rows, columns, open_)
+            x, y = np.nonzero(open_ & (self.den * n >= self.num * (size[r][:, None] + size[c][None, :] - n)))
+            if not len(x):
+                continue
+            root = np.array([self.forest.root(int(k)) for k in (*r, *c)])
+            new = root[x] != root[len(r) + y]
+            for a, b in zip(r[x[new]].tolist(), c[y[new]].tolist()):
+                self.forest.join(a, b)
+            yield order[r[x]], order[c[y]], n[x, y]
+
+    def joined(self) -> np.ndarray:
+        """As groups(), by the links that were taken so far."""
         out = np.empty(len(self.sets), np.int64)
         out[self.order] = [self.forest.root(i) for i in range(len(self.sets))]
         return out

@@ -154,6 +154,31 @@ def test_jaccard_near_copies_in_chunks(spark):
     assert rows_of(jaccard.linked_groups(df, 4, 85, 100, group_texts=8)) == want
 
 
+def test_jaccard_links(spark, docs):
+    """The number of links and all pairs, copies and groups in chunks too, against brute force."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{i}" for i in range(100)], list(TEXTS)
+    for d in range(20, 100):
+        w = list(base)
+        for k in rng.choice(100, d % 4, replace=False):
+            w[k] = f"z{d // 2}"
+        texts.append((d, " ".join(w), None))
+    fold = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    split = [re.findall(r"[^\x20\x09-\x0D]+", fold(t)) for _, t, _ in texts]
+    sets = [frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else []) for w in split]
+    link = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    want = sorted((d, sum(link(a, b) for j, b in enumerate(sets) if j != i)) for i, ((d, _, _), a) in enumerate(zip(texts, sets)))
+    least = {s: min(d for (d, _, _), x in zip(texts, sets) if x == s) for s in set(sets)}
+    pairs = sorted((*sorted((least[a], least[b])), len(a & b), len(a | b)) for a in least for b in least if least[a] < least[b] and link(a, b))
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    for size in (8192, 9):
+        got = jaccard.document_links(df, 4, 85, 100, group_texts=size).collect()
+        assert sorted((r.doc_id, r.n_links) for r in got) == want
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(_groups(texts, 4, 85, 100), key=str)
+        assert sorted((*sorted((r.doc_a, r.doc_b)), r.shared, r.n_union) for r in jaccard.linked_pairs(df, 4, 85, 100, group_texts=size).collect()) == pairs
+    assert len(pairs) > 100 and jaccard.document_links(docs.where("false")).count() == 0
+
+
 def test_signature_tree_and_components(spark):
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.choice(60, 30).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(120)]
