@@ -138,7 +138,7 @@ def _keyword(pattern: str) -> str:
 
 
 #: Keywords of patterns that start with alternatives: where the first is in the pattern, each match holds one of them.
-_STEMS = (("gpl", "general public licen"), ("creative commons", "cc by"), ("cc0",), ("bsd",), ("licen",), ("rail",))
+_STEMS = (("cc0",), ("gpl", "general public licen"), ("creative commons", "cc by"), ("bsd",), ("licen",), ("rail",))
 
 
 def _keywords(pattern: str) -> tuple[str, ...]:
