@@ -43,13 +43,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, as little-endian unsigned 32-bit integers."""
-    return encode_decode(docs, with_decoded=False).select("doc_id", "n_tokens", "ids")
+    """Token ids, as little-endian unsigned 32-bit integers, and the text that they decode to."""
+    return encode_decode(docs).select("doc_id", "n_tokens", "ids", F.col("decoded").cast("string").alias("decoded"))
 
 
 STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("PII", personal_data), ("mixing sources to target weights", mixing), ("BPE encoding and decoding", encoding)]
 
-#: The learned rules, the terms' hashes, the mix's draws and the tokenizer have no SQL; tests/llm holds run() against brute force.
+#: The learned rules, the terms' hashes, the mix's draws and the tokenizer have no SQL; tests/llm holds each stage against brute force on what the stage before gave it: the base rules of the first, not its learned ones.
 ORACLE_SQL = None
 
 

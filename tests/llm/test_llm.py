@@ -372,6 +372,70 @@ def test_pipeline(spark):
     assert 0 < seen.count()
 
 
+def _pii_texts(texts):
+    """Sanitised texts from the disclosure of all pairs."""
+    shown, df, of, both = [], Counter(), Counter(), Counter()
+    for x in texts:
+        spans = pii.entities(x)
+        terms = [(m.start(), m.end(), "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[0])) for m in re.finditer(r"[A-Za-z\x80-\U0010ffff]+", x) if len(m[0].encode()) >= 4]
+        free = {w for a, b, w in terms if all(b <= p or a >= q for _, p, q in spans)}
+        es = {(k, re.sub(r"[^a-z0-9@.+]", "", x[p:q].lower())) for k, p, q in spans}
+        df.update({w for _, _, w in terms})
+        of.update(es)
+        both.update((e, w) for e in es for w in free)
+        shown.append((x, terms))
+    told = {}
+    for (e, w), c in both.items():
+        p = of[e] / len(texts)
+        if p < 1:
+            told[w] = max(told.get(w, 0.0), 1 + np.log2((c + p) / (df[w] + 1)) / -np.log2(p))
+    cut = lambda a, b, w: f"{a}:{b}:{'remove' if told[w] >= pii.REMOVE else 'generalise'}"
+    return [pii.clean_text(x, ",".join(cut(*t) for t in terms if told.get(t[2], 0.0) >= pii.GENERALISE)) for x, terms in shown]
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    seen, rows = corpus_pipeline.table(spark, sf, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = seen.collect()
+        seen = corpus_pipeline.written(stage(spark, seen, sf), "test")
+        rows[name] = before, seen.collect()
+    words_of = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+    before, after = rows["quality rules"]
+
+    def failed(t):
+        w = words_of(t)
+        c = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        return len(w) < 10 or 100 * len({j for k in range(len(w) - 4) if c[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}) > 20 * len(w)
+
+    assert after and not Counter(after) - Counter(r for r in before if not failed(r.text))
+
+    before, after = rows["PII"]
+    assert sorted(zip([r.doc_id for r in before], _pii_texts([r.text for r in before]))) == sorted((r.doc_id, r.text) for r in after)
+
+    before, after = rows["mixing sources to target weights"]
+    sizes, taken, whole = Counter(), Counter(), {r.doc_id: r for r in before}
+    for r in before:
+        sizes[r.source] += len(words_of(r.text))
+    for r in after:
+        taken[r.source] += len(words_of(r.text))
+        left = iter(words_of(whole[r.doc_id].text))
+        assert r.source == whole[r.doc_id].source and r.n_chars == len(r.text) and all(w in left for w in words_of(r.text))
+    want = _targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+
+    before, after = rows["BPE encoding and decoding"]
+    t = Lexicon.at(vocabulary_path()).tokenizer
+    want = []
+    for r in before:
+        ids = t.encode(r.text, add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), np.array(ids, "<u4").tobytes(), t.decode(ids, skip_special_tokens=False)))
+    assert sorted(want) == sorted((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in after)
+
+
 def test_lexicon_starts_anew(monkeypatch):
     """Beyond its bound the lexicon forgets, and still learns the words at hand."""
     from lodestar.llm import lexicon
