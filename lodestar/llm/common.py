@@ -73,7 +73,7 @@ def release(keep_words: bool = False) -> None:
     from . import wordhash
 
     wordhash.forget()
-    for module, kept in (("lexicon", "Lexicon"), ("token_counts", "Transducer")):
+    for module, kept in (("lexicon", "Lexicon"), ("transducer", "Transducer")):
         if not keep_words and (m := sys.modules.get(f"{__package__}.{module}")):
             getattr(m, kept)._open.clear()
     pa.default_memory_pool().release_unused()

@@ -1,6 +1,6 @@
-"""The vocabulary's answers for single words, kept by each Python worker.
+"""The vocabulary's library, and a cache of what it says of single words, kept by each Python worker.
 
-The vocabulary's tokenizer drops white space and never joins what white space parts, so a text's tokens are its words' tokens in order. Words here end at ASCII white space only, which every step of the tokenizer takes for white space too.
+The vocabulary's tokenizer drops white space and never joins what white space parts, so the tokens of a word that stands whole between white space hang on that word alone. Words here end at ASCII white space only, which every step of the tokenizer takes for white space too.
 """
 
 from __future__ import annotations
@@ -12,9 +12,7 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker keeps; then it starts anew (a bound on memory, results stay the same).
-KEEP = 400_000
-#: A longer word is not kept.
-LONG = 256
+KEEP = 600_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -46,16 +44,13 @@ class Lexicon:
 
     def decode(self, ids: bytes) -> bytes:
         """The decoded text in UTF-8: the vocabulary has no decoder of its own, so tokens stand between spaces."""
-        pieces = self.pieces
-        return b" ".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return b" ".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def learn(self, words: Iterable[bytes]) -> None:
         """Looks up the words that are not known yet, all at once."""
-        words = {w for w in words if len(w) <= LONG}
-        new = [w for w in words if w not in self.words]
+        new = [w for w in set(words) if w not in self.words]
         if len(self.words) + len(new) > KEEP:
             self.words.clear()
-            new = list(words)
         if new:
             for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
                 self.words[w] = np.array(e.ids, "<u4").tobytes()

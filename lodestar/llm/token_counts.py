@@ -1,102 +1,90 @@
-"""Token counts by a compiled finite-state transducer.
+"""Token counts by a compiled finite-state transducer (see transducer.py).
 
-The tokenizer is compiled into a deterministic transducer over bytes. Its states are GAP (between words) and the words begun so far; a byte of a word goes from state w to state w + byte and emits 0; white space goes from state w to GAP and emits the number of tokens that the vocabulary has for w. The states and the
-numbers on the closing transitions are compiled as words first occur and are kept, so later occurrences only follow them.
-
-A text is cut into chunks of fixed size at any byte. A chunk's state map says for every state at its start what it emits and in which state it ends. From any state w, a chunk without white space goes to w + chunk and emits 0; one with white space emits count(w + head) + inner and ends in the state `tail`. So (head, inner, tail) or a bare head stands for the whole map.
-Maps compose associatively; a parallel prefix scan, doubling the distance in each round, composes them, and the state map of the whole text, started and ended in GAP, gives the count.
+Texts are cut into chunks of CHUNK symbols, wherever that falls. A chunk's state map says for every state at its start in which state it ends and what it emits. From any state, white space leads to GAP; so after its first white space a map is constant, (inner, tail), and only the symbols before, its head, hang on the start. All chunks of a batch run side by side from GAP, each over what follows its head;
+then all heads run side by side, each from the tail before it. A chunk without white space is all head: its tail is known once the one before it is. The counts of the chunks then compose by a prefix scan over the whole batch, and a text's count is the difference of the scan at its ends.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import bounded_batches, by_bytes, table, text_of, thrifty
-from .lexicon import LONG, Lexicon, vocabulary_path
+from .lexicon import vocabulary_path
+from .transducer import GAP, Transducer
 
-CHUNK = 8192
+CHUNK = 512
 LIMIT = 2048
-_SPACE = frozenset(b" \t\n\r\x0b\x0c")
-
-
-class Transducer:
-    """The counts on the closing transitions, by the state they leave; compiled from the vocabulary when first needed."""
-
-    _open: dict[str, Transducer] = {}
-
-    def __init__(self, path: str, keep: int = 1_500_000):
-        self.tokenizer, self.emits, self.keep = Lexicon.at(path).tokenizer, {b"": 0}, keep
-
-    @classmethod
-    def at(cls, path: str) -> Transducer:
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
-
-    def compile(self, states) -> None:
-        states = set(states)
-        new = [w for w in states if w not in self.emits]
-        if len(self.emits) + len(new) > self.keep:  # a bound on memory; what is needed is compiled again
-            self.emits = {b"": 0}
-            new = list(states - {b""})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.emits[w] = len(e.ids)
-
-    def closing(self, w: bytes) -> int:
-        """What leaving state w by white space emits."""
-        if len(w) > LONG:
-            return len(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
-        if w not in self.emits:
-            self.compile([w])
-        return self.emits[w]
-
-    def chunk_map(self, chunk: bytes, words: list[bytes]) -> tuple:
-        """(head,) without white space, else (head, inner, tail): see the module."""
-        if not words:
-            return (b"", 0, b"") if chunk else (b"",)
-        opens, closes = chunk[0] in _SPACE, chunk[-1] in _SPACE
-        if not opens and not closes and len(words) == 1:
-            return (chunk,)
-        lo, hi = 0 if opens else 1, len(words) - (not closes)
-        emits = self.emits
-        try:
-            inner = sum([emits[w] for w in words[lo:hi]])
-        except KeyError:
-            inner = sum(self.closing(w) for w in words[lo:hi])
-        return (b"" if opens else words[0], inner, b"" if closes else words[-1])
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of a's chunk followed by b's."""
-        if len(a) == 1:
-            return (a[0] + b[0], *b[1:])
-        if len(b) == 1:
-            return (a[0], a[1], a[2] + b[0])
-        return (a[0], a[1] + self.closing(a[2] + b[0]) + b[1], b[2])
-
-    def scan(self, maps: list[tuple]) -> list[tuple]:
-        """All prefixes' maps, in rounds that double the distance: round r composes each map with the one 2**r before it."""
-        step = 1
-        while step < len(maps):
-            maps = [self.compose(maps[i - step], maps[i]) if i >= step else maps[i] for i in range(len(maps))]
-            step *= 2
-        return maps
-
-    def count(self, maps: list[tuple]) -> int:
-        """What the text's map emits from GAP, with the end of the text taken for white space."""
-        if not maps:
-            return 0
-        last = self.scan(maps)[-1] if len(maps) > 1 else maps[0]
-        return self.closing(last[0]) if len(last) == 1 else self.closing(last[0]) + last[1] + self.closing(last[2])
+#: Lanes below which one lane after the other is faster than a vector for each symbol.
+FEW = 12
+#: The vocabulary's special strings: fixed values. Each is one token, and what stands on its two sides is tokenised apart.
+SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
+#: Bytes of texts that run side by side.
+SIDE_BY_SIDE = 4 << 20
+
+
+def _lanes(t: Transducer, states: np.ndarray, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States at the end and emitted counts of the lanes, run side by side."""
+    end, out = np.array(states, np.int64), np.zeros(len(start), np.int64)
+    if len(start) < FEW:
+        for k in range(len(start)):
+            end[k], out[k] = t.walk(int(end[k]), symbols[start[k] : start[k] + size[k]])
+    else:
+        order = np.argsort(-size, kind="stable")
+        end[order], out[order] = t.run(end[order], symbols, start[order], size[order])
+    return end, out
+
+
+def count_symbols(t: Transducer, texts: list[np.ndarray], chunk: int = CHUNK) -> np.ndarray:
+    """The number of tokens of each text, given as symbols."""
+    length = np.array([len(x) for x in texts], np.int64)
+    symbols = np.concatenate([*texts, np.zeros(1, np.int32)])  # the last one ends a text
+    chunks = -(-length // chunk)
+    owner = np.repeat(np.arange(len(texts)), chunks)
+    if not len(owner):
+        return np.zeros(len(texts), np.int64)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    start = (np.cumsum(length) - length)[owner] + place * chunk
+    size = np.minimum(chunk, length[owner] - place * chunk)
+    opens = place == 0  # a text's first chunk starts in GAP and has no head
+    spaces = np.append(np.flatnonzero(symbols == 0), len(symbols))
+    head = np.where(opens, 0, np.minimum(spaces[np.searchsorted(spaces, start)] - start, size))
+    all_head = ~opens & (head == size)
+    tail, inner = _lanes(t, np.full(len(owner), GAP), symbols, start + head, size - head)
+    # heads, each with the white space after it, from the tail before it; those after a chunk that is all head wait for that one's tail
+    emitted = np.zeros(len(owner), np.int64)
+    ready = np.flatnonzero(~opens & ~np.concatenate([[False], all_head[:-1]]))
+    while len(ready):
+        ends, emitted[ready] = _lanes(t, tail[ready - 1], symbols, start[ready], head[ready] + ~all_head[ready])
+        whole = all_head[ready]
+        tail[ready[whole]] = ends[whole]
+        ready = ready[whole] + 1
+        ready = ready[ready < len(owner)]
+        ready = ready[~opens[ready]]
+    last = np.flatnonzero(np.concatenate([opens[1:], [True]]))
+    closing = np.zeros(len(owner), np.int64)
+    closing[last] = _lanes(t, tail[last], symbols, np.full(len(last), len(symbols) - 1), np.ones(len(last), np.int64))[1]
+    scan = np.concatenate([[0], np.cumsum(inner + emitted + closing)])
+    upto = np.cumsum(chunks)
+    return scan[upto] - scan[upto - chunks]
 
 
 def count_texts(texts: list[bytes], path: str, chunk: int = CHUNK) -> list[int]:
-    """The number of tokens of each text. Chunks may part words and even characters; only whole words are ever looked up."""
+    """The number of tokens of each text."""
     t = Transducer.at(path)
-    split = [[(c := x[i : i + chunk], c.split()) for i in range(0, len(x), chunk)] for x in texts]
-    inner = (w for parts in split for c, words in parts for w in words[(c[0] not in _SPACE) : len(words) - (c[-1] not in _SPACE)] if len(w) <= LONG)
-    t.compile(inner)
-    return [t.count([t.chunk_map(c, words) for c, words in parts]) for parts in split]
+    if len(t.states) > t.keep:
+        t.forget()
+    parts, owner, out = [], [], np.zeros(len(texts), np.int64)
+    for k, x in enumerate(texts):
+        pieces = SPECIAL.split(x.decode())
+        out[k] = len(pieces) - 1
+        parts += [t.symbols(t.normalised(p).encode()) for p in pieces]
+        owner += [k] * len(pieces)
+    np.add.at(out, np.array(owner, np.int64), count_symbols(t, parts, chunk))
+    return out.tolist()
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -110,7 +98,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         for batch in batches:
             texts = [x.as_py() for x in batch.column(1).cast(pa.binary())]
-            n = [x for some in by_bytes(texts) for x in count_texts(some, path)]
+            n = [x for some in by_bytes(texts, SIDE_BY_SIDE) for x in count_texts(some, path)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return text_of(df, id_col, text_col).mapInArrow(thrifty(run, keep_words=True), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -13,6 +13,7 @@ from lodestar.llm import bpe, jaccard, jpeg, licenses, mixing, pii, quality, sha
 from lodestar.llm.components import components
 from lodestar.llm.lexicon import Lexicon, vocabulary_path
 from lodestar.llm.signature_tree import SignatureTree
+from lodestar.llm.transducer import Transducer
 
 LOREM = " ".join(f"word{i * 7 % 53} and{i % 11}" for i in range(80))
 TEXTS = [
@@ -237,11 +238,13 @@ def test_bpe_and_counts(docs):
     t = Lexicon.at(path).tokenizer
     long = "abc'reé1!" * 400
     texts = [x or "" for _, x, _ in TEXTS] + [long, "a" * 3000, "the" * 2000]
-    for leaf, word_leaf in ((16, 16), (8192, 64), (8192, 512)):
-        for x, ids in zip(texts, bpe.encode_texts([x.encode() for x in texts], path, leaf, word_leaf)):
+    for leaf in (16, 300, bpe.LEAF):
+        encoder = bpe.Encoder(Lexicon.at(path))
+        for x, ids in zip(texts, encoder.encode([x.encode() for x in texts], leaf)):
             want = t.encode(x, add_special_tokens=False).ids
             assert np.frombuffer(ids, "<u4").tolist() == want
             assert Lexicon.at(path).decode(ids).decode() == t.decode(want, skip_special_tokens=False)
+        assert encoder.joins >= sum(len(x.encode()) > leaf for x in texts)
     assert token_counts.count_texts([x.encode() for x in texts], path, 13) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
     got = {(r.doc_id, r.n_tokens) for r in bpe.encode_decode(docs, digests=True).collect()}
     assert got == {(r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs).collect()}
@@ -447,11 +450,40 @@ def test_lexicon_starts_anew(monkeypatch):
     assert set(words.words) == {b"three", b"four"}
 
 
-def test_transducer_starts_anew():
-    """Beyond its bound the transducer forgets, and still compiles the states at hand."""
-    from lodestar.llm.token_counts import Transducer
+def test_adversarial_cuts_and_chunks():
+    """Contractions, marks, numbers, cased and special strings cut at every place, against the library."""
+    path, rng = vocabulary_path(), np.random.default_rng(6)
+    t = Lexicon.at(path).tokenizer
+    pieces = [*"ab'rselvtdm 12½", "é", "e\u0301\u0316", "Σ", "İ", "日", "각", "\u1100\u1161", "<|", "|>", "<|endoftext|>", "\u00a0", "the", "ing", "'re"]
+    texts = ["".join(rng.choice(pieces, rng.integers(120))) for _ in range(150)] + ["'r", "'", "''re", "a" * 2000, "é\u0301" * 200]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for leaf in (8, 40, 400):
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_texts([x.encode() for x in texts], path, leaf)] == want
+    for chunk in (1, 3, 7, 64, 512):
+        assert token_counts.count_texts([x.encode() for x in texts], path, chunk) == [len(x) for x in want]
+
+
+def test_real_texts_take_joins_and_transitions(spark):
+    """No text of documents is counted or encoded but over the tree and the table, and all equal the library's."""
+    path = vocabulary_path()
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    want = [x.ids for x in Lexicon.at(path).tokenizer.encode_batch(texts, add_special_tokens=False)]
+    encoder, table = bpe.Encoder(Lexicon.at(path)), Transducer(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([x.encode() for x in texts])] == want
+    assert encoder.joins >= sum(len(x.encode()) > bpe.LEAF for x in texts) > 0
+    parts = [table.symbols(table.normalised(x).encode()) for x in texts if "<|" not in x]
+    assert token_counts.count_symbols(table, parts).tolist() == [len(w) for x, w in zip(texts, want) if "<|" not in x]
+    assert (table.target >= 0).sum() > 1000 and len(table.states) > 500
+
 
-    t = Transducer(vocabulary_path(), keep=4)
-    t.compile(iter([b"one", b"two"]))
-    t.compile(iter([b"three", b"four"]))
-    assert set(t.emits) == {b"", b"three", b"four"}
+def test_transducer_starts_anew():
+    """Beyond its bound the table forgets its states, and counts the same."""
+    path = vocabulary_path()
+    t = Transducer.at(path)
+    words = [b"some words to count", b"other words there"]
+    want = token_counts.count_texts(words, path)
+    keep, t.keep = t.keep, 3
+    try:
+        assert token_counts.count_texts(words, path) == token_counts.count_texts(words, path) == want
+    finally:
+        t.keep = keep
