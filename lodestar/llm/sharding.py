@@ -1,8 +1,9 @@
 """Sharding by a hierarchical weighted hash tree (DataFrame functions only).
 
-The tree has regions, racks and shards. A shard's draw for a key is ``-ln(u) / weight`` with u hashed from the key and the shard's name. A rack's draw is the smallest of its shards' draws and a
-region's the smallest of its racks'. The smallest of exponential draws is an exponential draw at the sum of their weights, so each level chooses among its children by weighted hash draws, and a draw changes only if a weight below it does.
-A subtree that gains weight therefore takes keys only into what was added, and one that loses weight only gives keys away: nothing moves between subtrees whose weights stay.
+The tree has regions, racks and shards. A key starts at the root and descends: at each level every child draws ``-ln(u) / weight``, with u hashed from the key and the child's name and the weight that of all shards below the child, and the smallest draw is chosen. So a key takes a draw for each region, for each rack of its region and for each shard of its rack, not for all shards.
+
+A child's draw hangs on nothing but its own weight. When a weight changes, keys move only between the subtree that holds the change and its siblings, level by level: into it if it gained weight, out of it if it lost some. Below a child that a key keeps and whose weights stay, nothing moves. A shard that is added with a rack and a region of its own takes keys only into itself; one that is added to a standing region
+lets keys into that region by the region's draw, and these go to any shard of it.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import table, written
 
 #: Rows of one shard are numbered bucket by bucket.
 SLOT_BUCKETS = 1024
@@ -29,31 +31,54 @@ class Shard:
 
 
 def topology(n_shards: int, per_rack: int = 4, racks: int = 2) -> list[Shard]:
-    """Equal shards, filled rack by rack, region by region: a larger count only adds leaves."""
-    return [Shard(i, i // (per_rack * racks), i // per_rack) for i in range(n_shards)]
+    """Equal shards in full regions of `racks` racks with `per_rack` shards; a shard over has a region and a rack of its own, so one more shard than full regions only takes rows into itself."""
+    full = n_shards // (per_rack * racks) * per_rack * racks
+    more = [Shard(i, full // (per_rack * racks) + i - full, full // per_rack + i - full) for i in range(full, n_shards)]
+    return [Shard(i, i // (per_rack * racks), i // per_rack) for i in range(full)] + more
+
+
+def _chosen(key: Column, level: str, children: list[tuple[int, float]], seed: int) -> Column:
+    """The child with the smallest draw among (name, weight)."""
+
+    def draw(name: int, weight: float) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), F.lit(name), key), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+        return F.struct((-F.log(u) / F.lit(float(weight))).alias("draw"), F.lit(name).alias("name"))
+
+    return F.lit(children[0][0]) if len(children) == 1 else F.least(*[draw(*c) for c in children])["name"]
 
 
-def _draw(key: Column, s: Shard, seed: int) -> Column:
-    h = F.xxhash64(F.lit(seed), F.lit(s.shard), key)
-    u = (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-    return F.struct((-F.log(u) / F.lit(float(s.weight))).alias("draw"), F.lit(s.shard).alias("shard"))
+def _branch(of: Column, cases: dict[int, Column]) -> Column:
+    """The case of the child that was chosen; only that one is evaluated."""
+    (first, value), *rest = cases.items()
+    if not rest:
+        return value
+    out = F.when(of == first, value)
+    for name, value in rest[:-1]:
+        out = out.when(of == name, value)
+    return out.otherwise(rest[-1][1])
 
 
 def shard_of(key: Column, shards: list[Shard], seed: int = 17) -> Column:
-    """The shard of a key: descends region, rack and shard by the smallest draw. A null key is a key of its own."""
-    least = lambda cs: cs[0] if len(cs) == 1 else F.least(*cs)
+    """The shard of a key: descends from region to rack to shard by the smallest draw among siblings. A null key is a key of its own. Shards without weight take nothing."""
     shards = [s for s in shards if s.weight > 0]
-    regions = []
-    for region in sorted({s.region for s in shards}):
-        racks = sorted({s.rack for s in shards if s.region == region})
-        regions.append(least([least([_draw(key, s, seed) for s in shards if (s.region, s.rack) == (region, rack)]) for rack in racks]))
-    return least(regions)["shard"]
+    weigh = lambda of, some: sorted({getattr(s, of): sum(x.weight for x in some if getattr(x, of) == getattr(s, of)) for s in some}.items())
+
+    def descend(levels: tuple[str, ...], some: list[Shard]) -> Column:
+        level, *below = levels
+        children = weigh(level, some)
+        if not below:
+            return _chosen(key, level, children, seed)
+        under = {name: descend(tuple(below), [s for s in some if getattr(s, level) == name]) for name, _ in children}
+        # the choice is computed once, then its branch alone is followed
+        return F.transform(F.array(_chosen(key, level, children, seed)), lambda of: _branch(of, under))[0]
+
+    return descend(("region", "rack", "shard"), shards)
 
 
 def shard_rows(df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, grown_shard) of each row.
 
-    Nulls: a null text is empty (size 1, checksum 0); a null id is a key like any other. Rows that agree in id, size and checksum are one key with a count; they get slots next to each other.
+    Nulls: a null text is empty (size 1, checksum 0); a null id is a key like any other. The law `key` holds: with one more shard than whole regions have, rows move only into it. Rows that agree in id, size and checksum are one key with a count; they get slots next to each other.
     An empty table gives no rows. Other columns of df are not read.
 
     Slots are gapless from 0 in each shard without bringing a shard's rows together: rows are counted in SLOT_BUCKETS hash buckets of each shard, the counts are summed up over the buckets, and a row's slot is its bucket's start plus its place in the bucket.
@@ -64,8 +89,6 @@ def shard_rows(df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_c
     keyed = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
     keyed = keyed.withColumns({"shard": shard_of(F.col("doc_id"), now, seed), "grown_shard": shard_of(F.col("doc_id"), topology(n_shards + 1), seed), "bucket": F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size", "text_crc32"), F.lit(SLOT_BUCKETS))})
     keyed = written(keyed, "sharding")
-    from pyspark.sql import Window as W
-
     counts = keyed.groupBy("shard", "bucket").agg(F.sum("n").alias("in_bucket"))
     starts = counts.select("shard", "bucket", (F.sum("in_bucket").over(W.partitionBy("shard").orderBy("bucket")) - F.col("in_bucket")).alias("start"))
     place = W.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, 0)
@@ -78,13 +101,11 @@ def shard_rows(df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_c
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int = 16, id_col: str = "doc_id", seed: int = 17) -> None:
-    """Writes df's rows, all columns, to one folder per shard."""
-    df.withColumn("_shard", shard_of(F.col(id_col), topology(n_shards), seed)).write.partitionBy("_shard").parquet(path)
+    """Writes df's rows, all columns, to one folder per shard, shard=0 and so on; df must have no column `shard`. A null id is a key like any other; an empty table writes no folder."""
+    df.withColumn("shard", shard_of(F.col(id_col), topology(n_shards), seed)).write.partitionBy("shard").parquet(path)
 
 
 def op3_sharding(spark, sf_dir):
-    from .common import table
-
     out = shard_rows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 

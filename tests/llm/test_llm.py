@@ -102,14 +102,56 @@ def test_sharding(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-def test_sharding_moves_only_into_new_shards(spark):
-    ids = spark.range(3000)
-    cols = [sharding.shard_of(F.col("id"), sharding.topology(n)).alias(f"s{n}") for n in (15, 16, 17, 18)]
-    for r in ids.select(*cols).collect():
-        for a, b, new in ((r.s15, r.s16, 15), (r.s16, r.s17, 16), (r.s17, r.s18, 17)):
-            assert b in (a, new)
-    counts = Counter(r.s16 for r in ids.select(*cols).collect())
-    assert len(counts) == 16 and max(counts.values()) < 1.5 * 3000 / 16
+def _draw(seed, level, name, key, weight):
+    """The draw of a child, by another implementation of the 64-bit hash that the DataFrame function names."""
+    import struct
+
+    import xxhash
+
+    h = xxhash.xxh64(struct.pack("<i", seed), seed=42).intdigest()
+    for data in (level.encode(), struct.pack("<i", name), struct.pack("<q", key)):
+        h = xxhash.xxh64(data, seed=h).intdigest()
+    return -np.log(((h >> 11) + 0.5) / (1 << 53)) / weight
+
+
+def test_sharding_descends(spark):
+    """Region, then rack, then shard, each among siblings only, against a descent in Python; the counts follow the weights."""
+    shards = [sharding.Shard(i, i // 4, i // 2, w) for i, w in enumerate((1.0, 2.0, 1.0, 4.0, 1.0, 1.0, 0.0, 6.0))]
+    got = {r.id: r.s for r in spark.range(4000).select("id", sharding.shard_of(F.col("id"), shards).alias("s")).collect()}
+
+    def descend(key):
+        some = [s for s in shards if s.weight]
+        for level in ("region", "rack", "shard"):
+            weight = Counter()
+            for s in some:
+                weight[getattr(s, level)] += s.weight
+            best = min(weight, key=lambda n: _draw(17, level, n, key, weight[n])) if len(weight) > 1 else next(iter(weight))
+            some = [s for s in some if getattr(s, level) == best]
+        return some[0].shard
+
+    assert all(got[k] == descend(k) for k in range(1000))
+    counts = Counter(got.values())
+    assert 6 not in counts and all(abs(counts[s.shard] - 4000 * s.weight / 16) < 6 * (4000 * s.weight / 16) ** 0.5 for s in shards if s.weight)
+
+
+def test_sharding_confines_movement(spark):
+    """Sixteen to seventeen shards: rows move only into the new one. A weight that changes in one rack moves nothing within other regions or other racks, and only out of or into the subtree that holds it."""
+    ids = spark.range(4000)
+    grown = [sharding.Shard(s.shard, s.region, s.rack, 3.0 if s.shard == 5 else 1.0) for s in sharding.topology(16)]
+    for r in ids.select(*[sharding.shard_of(F.col("id"), sharding.topology(n)).alias(f"s{n}") for n in (16, 17)], sharding.shard_of(F.col("id"), grown).alias("heavier")).collect():
+        assert r.s17 in (r.s16, 16)
+        if r.heavier != r.s16:  # shard 5 of rack 1 of region 0
+            assert r.heavier == 5 if r.s16 // 4 == 1 else r.heavier // 4 == 1 if r.s16 // 8 == 0 else r.heavier // 8 == 0
+    counts = Counter(r.s for r in ids.select(sharding.shard_of(F.col("id"), sharding.topology(16)).alias("s")).collect())
+    assert len(counts) == 16 and max(counts.values()) < 1.4 * 4000 / 16
+
+
+def test_write_shards(spark, docs, tmp_path):
+    sharding.write_shards(docs, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert rows_of(back.select(*docs.columns)) == rows_of(docs)
+    want = {(r.doc_id, r.shard) for r in sharding.shard_rows(docs).collect()}
+    assert {(r.doc_id, r.shard) for r in back.collect()} == want
 
 
 def _targets(sizes):
