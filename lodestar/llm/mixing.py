@@ -1,9 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (DataFrame functions only).
 
-Every document is cut into blocks of BLOCK words. A source's blocks are put in a permuted order by hash, once for each pass over the source (two at most, since a target stops at twice the source's size). The mix takes blocks in that order
-until the target is reached; the last block is cut to the word. So each source has an exact quota of blocks. A splitting tree deals the quotas out to the output shards: at each node, the
-left half's share of each source's blocks is drawn from the multivariate hypergeometric law (source after source, by the inverse of its distribution function at a hashed u), and both halves recurse. A shard then owns a disjoint run of each
-source's permuted blocks. Within its shard, a block has a hashed order key: writers sort by it, shard by shard.
+Every document is cut into blocks of BLOCK words. A source's documents are put in a permuted order by hash, their blocks in a row, once for each pass over the source (two at most, since a target stops at twice the source's size). The mix takes blocks in that order until the target is reached; the last block is cut to the word. So each source has an exact quota of blocks. A splitting tree deals the quotas out
+to the output shards: at each node, the left half's share of each source's blocks is drawn from the multivariate hypergeometric law (source after source, by the inverse of its distribution function at a hashed u), and both halves recurse. A shard then owns a disjoint run of each source's permuted blocks, and documents stay whole but at the ends of runs. Blocks of one document that a shard takes in one pass are one run of text.
+Within its shard, a run has a hashed order key, and shards are written in its order: the local shuffle.
 """
 
 from __future__ import annotations
@@ -22,6 +21,12 @@ BLOCK = 256
 DEPTH = 4
 #: A source's blocks are ranked bucket by bucket.
 BUCKETS = 4096
+#: Sources that a mix may have: they are labels, and the splitting tree's nodes hold a number for each. More raise an error.
+SOURCES = 10_000
+#: Pieces of order keys by which each shard's rows are dealt to tasks.
+PIECES = 256
+#: A word with the white space before it, or the white space at the end: joined, they are the text.
+_PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
 def _zero() -> Column:
@@ -124,12 +129,14 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CA
 
     Blocks: (uid, doc_id, ordinal, pass, block, first_word, words, shard, order_key). Words first_word to first_word + words of the document go to that shard; a document can be in both passes.
 
-    A null text or one without words has no blocks; a null source is a source, the last; equal rows are rows of their own; an empty table gives no blocks. The permutation hangs on (seed, source, document id, size, block), so reruns agree.
+    A null text or one without words has no blocks; a null source is a source, the last; equal rows are rows of their own; an empty table gives no blocks. The permutation hangs on (seed, source, document id, size), so reruns agree.
     """
     goals = written(targets(sizes, weights, share, cap), "mix-targets")
+    if (n := goals.count()) > SOURCES:
+        raise ValueError(f"a mix has {SOURCES} sources at most, this one has {n}")
     blocks = sizes.where("size > 0").withColumn("block", F.explode(F.sequence(_zero(), F.floor((F.col("size") - 1) / block))))
     blocks = blocks.withColumn("words", F.least(F.lit(block).cast("long"), F.col("size") - F.col("block") * block))
-    blocks = blocks.withColumn("key", F.xxhash64(F.lit(seed), "source", "doc_id", "size", "block"))
+    blocks = blocks.withColumn("key", F.xxhash64(F.lit(seed), "source", "doc_id", "size"))
     blocks = blocks.withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 40), F.lit(BUCKETS)))
     blocks = blocks.join(goals.select(F.col("source").alias("s"), "ordinal", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
     counts = blocks.groupBy("ordinal", "bucket").agg(F.sum("words").alias("bucket_words"), F.count(F.lit(1)).alias("bucket_blocks"))
@@ -146,7 +153,7 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CA
     quotas = drawn.groupBy("ordinal").agg(F.count(F.lit(1)).alias("quota"))
     deal = split_quotas(quotas, depth, seed).groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("last", "shard"))).alias("deal"))
     shard = F.element_at(F.filter("deal", lambda x: x["last"] > F.col("rank")), 1)["shard"]
-    out = drawn.join(deal, "ordinal").withColumn("shard", shard).withColumn("order_key", F.xxhash64(F.lit(seed + 1), "key", "pass"))
+    out = drawn.join(deal, "ordinal").withColumn("shard", shard).withColumn("order_key", F.xxhash64(F.lit(seed + 1), "key", "pass", "shard"))
     return goals, out.select("uid", "doc_id", "ordinal", "pass", "block", "first_word", "words", "shard", "order_key")
 
 
@@ -157,18 +164,36 @@ def per_document(sizes: DataFrame, goals: DataFrame, blocks: DataFrame) -> DataF
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"), "first_shard", "last_shard")
 
 
+def mixed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 23, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+    """df's columns and (_shard, _order): a row for each run of words that one shard takes of a document in one pass, its text cut to those words as the document has them, white space and all: a document's runs of a pass, joined, are what the pass took of it.
+
+    Nulls: a row without words or with a null text is in no mix; a null source is a source. Equal rows are rows of their own. An empty table gives no rows. df is read twice, so it has to be a stored table or cheap; its columns may have any names but _uid, _first, _words, _shard and _order.
+    """
+    marked = written(df.withColumn("_uid", F.monotonically_increasing_id()), "mix-documents")
+    sizes = written(marked.select(F.col("_uid").alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
+    _, blocks = mix(sizes, seed=seed, block=block, depth=depth)
+    runs = blocks.groupBy(F.col("uid").alias("_uid"), "pass", F.col("shard").alias("_shard"), F.col("order_key").alias("_order")).agg(F.min("first_word").cast("int").alias("_first"), F.sum("words").cast("int").alias("_words"))
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({_PIECE})"), F.lit(1))
+    whole = (F.col("_first") == 0) & (F.col("_words") == n_words(F.col(text_col)))
+    # the white space at a text's end goes with its last word
+    cut = F.transform(F.array(pieces), lambda p: F.array_join(F.slice(p, F.col("_first") + 1, F.when(F.col("_first") + F.col("_words") + 1 == F.size(p), F.col("_words") + 1).otherwise(F.col("_words"))), ""))[0]
+    return marked.join(runs, "_uid").withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut)).select(*df.columns, "_shard", "_order")
+
+
+def in_order(runs: DataFrame) -> DataFrame:
+    """The runs dealt to tasks by shard and by pieces of the order key, so that no task holds a whole shard, and sorted there."""
+    return runs.withColumn("_piece", F.pmod(F.shiftright("_order", 48), F.lit(PIECES))).repartition("_shard", "_piece").sortWithinPartitions("_shard", "_order").drop("_piece")
+
+
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 23) -> DataFrame:
-    """df's rows as the mix has them: one row for each pass that takes words of a document, its text cut to those words. A pass that takes the whole document keeps its text as it is. df must be a stored table, since it is read twice."""
-    marked = df.withColumn("_uid", F.monotonically_increasing_id())
-    marked = written(marked, "mix-documents")
-    sizes = marked.select(F.col("_uid").alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
-    sizes = written(sizes, "mix-sizes")
-    _, blocks = mix(sizes, seed=seed)
-    runs = blocks.groupBy(F.col("uid").alias("_uid"), F.col("pass").alias("_pass")).agg(F.sum("words").alias("_taken"), F.array_sort(F.collect_list(F.struct("first_word", "words"))).alias("_runs"))
-    whole = F.col("_taken") == n_words(F.col(text_col))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(w, (r["first_word"] + 1).cast("int"), r["words"].cast("int")))), " "))[0]
-    return marked.join(runs, "_uid").withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut)).select(*df.columns)
+    """The mix with df's columns, each task's rows in the order of shards and, within a shard, of order keys; see mixed_runs() for the rows, and for nulls, ties and empty tables."""
+    return in_order(mixed_runs(df, id_col, text_col, source_col, seed)).select(*df.columns)
+
+
+def write_mix(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 23) -> None:
+    """Writes the mix to a folder for each output shard (shard=0 and so on), each file in the order of order keys. As mixed_runs() otherwise; df must have no column `shard` or `order_key`."""
+    runs = mixed_runs(df, id_col, text_col, source_col, seed)
+    in_order(runs).withColumnsRenamed({"_shard": "shard", "_order": "order_key"}).write.partitionBy("shard").parquet(path)
 
 
 def op2_mixing(spark, sf_dir):

@@ -186,6 +186,54 @@ def test_mixing(docs):
     assert rows_of(again) == sorted((tuple(r) for r in got), key=str)
 
 
+def test_hypergeometric_draws(spark):
+    """The quantiles that the tree draws, against the law's exact distribution."""
+    from math import comb
+
+    rng, rows = np.random.default_rng(8), []
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        rows.append((n, int(rng.integers(0, n + 1)), int(rng.integers(0, n + 1)), float(rng.random())))
+    df = spark.createDataFrame(rows, "n long, m long, k long, u double")
+    for r in df.withColumn("x", mixing._hypergeometric(F.col("n"), F.col("m"), F.col("k"), F.col("u"))).collect():
+        law = [comb(r.m, x) * comb(r.n - r.m, r.k - x) / comb(r.n, r.k) if x <= r.k and r.k - x <= r.n - r.m else 0.0 for x in range(r.m + 1)]
+        below = sum(law[: r.x])
+        assert below - 1e-9 <= r.u <= below + law[r.x] + 1e-9
+
+
+def test_mixed_runs_keep_the_text(spark, docs, tmp_path):
+    """A pass's runs of a document, joined in their order, are what it took of the text; a document that is taken whole is as it was; shards are written in the order of their keys."""
+    texts = [(i, "".join(f"w{i}_{k}" + (" ", "\n", "\t\t", "  ")[k % 4] for k in range(i * 7)), f"s{i % 3}") for i in range(1, 60)]
+    df = spark.createDataFrame([(i, t, s, "x", 1) for i, t, s in [*texts, *TEXTS]], docs.schema)
+    rows = mixing.mixed_runs(df, block=16, depth=2).collect()
+    n = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    per, taken, of = Counter(), Counter(), defaultdict(list)
+    for i, t, s in [*texts, *TEXTS]:
+        per[s] += n(t)
+        of[i].append(t or "")
+    for r in rows:
+        taken[r.source] += n(r.text)
+        assert any(r.text in t for t in of[r.doc_id]) and 0 <= r._shard < 4 and r.text
+    want = _targets(per)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in per)
+    whole = sum(r.text in of[r.doc_id] for r in rows)
+    assert whole > len(rows) / 2
+    sizes = Counter(r._shard for r in rows)
+    assert len(sizes) == 4
+    mixing.write_mix(df, f"{tmp_path}/mix")
+    back = spark.read.parquet(f"{tmp_path}/mix")
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text) for r in mixing.mixed_documents(df).collect())
+    for part in (tmp_path / "mix").glob("shard=*/*.parquet"):
+        keys = [r.order_key for r in spark.read.parquet(str(part)).collect()]
+        assert keys == sorted(keys)
+
+
+def test_mix_refuses_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 2)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(mixing.document_sizes(spark.createDataFrame([(k, "a b", f"s{k}") for k in range(3)], "doc_id long, text string, source string")))
+
+
 def test_split_quotas(spark):
     dealt = mixing.split_quotas(spark.createDataFrame([(0, 1000), (1, 10), (2, 333)], "ordinal long, quota long"), depth=3).collect()
     for o, q in ((0, 1000), (1, 10), (2, 333)):
@@ -467,8 +515,7 @@ def test_pipeline_stages_by_brute_force(spark):
         sizes[r.source] += len(words_of(r.text))
     for r in after:
         taken[r.source] += len(words_of(r.text))
-        left = iter(words_of(whole[r.doc_id].text))
-        assert r.source == whole[r.doc_id].source and r.n_chars == len(r.text) and all(w in left for w in words_of(r.text))
+        assert r.source == whole[r.doc_id].source and r.n_chars == len(r.text) and r.text in whole[r.doc_id].text
     want = _targets(sizes)
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
 
