@@ -295,9 +295,11 @@ def document_links(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
         found = links.select(F.col("a").alias("v"), F.col("b").alias("root"))
     else:
         found = components(links)
-    named = docs.join(found.select(F.col("v").alias("cls"), F.col("root").alias("g")).distinct(), "cls", "left").withColumn("g", F.coalesce("g", "cls"))
-    least = named.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "g", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+    # groups are named class by class, and what names them is written, so that Spark can split the joins at a group or a class that has many rows
+    grouped = classes.select("cls", "rep").join(found.select(F.col("v").alias("cls"), F.col("root").alias("g")).distinct(), "cls", "left").withColumn("g", F.coalesce("g", "cls"))
+    least = written(grouped.groupBy("g").agg(F.min("rep").alias("least")), "least")
+    names = written(grouped.join(least, "g").select("cls", "least"), "names")
+    out = docs.join(names, "cls", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     if not count:
         return out.select("doc_id", "n_shingles", "component_id", F.lit(None).cast("long").alias("n_links"))
     others = classes.select("cls", "rows").join(links.groupBy(F.col("a").alias("cls")).agg(F.sum("linked").alias("linked")), "cls", "left")

@@ -7,9 +7,11 @@ order of priority, then length, then place: one that lies inside a detection alr
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,11 +210,11 @@ def detect(words: bytes) -> tuple[list[tuple[int, str]], list[Detection]]:
     """The base phrases' places (word, label), and all detections, from words_of()."""
     text = words.decode("latin-1")
     gated = {r for _, rs in _automaton().iter(text) for r in rs}
+    spaces = np.flatnonzero(np.frombuffer(words, np.uint8) == 32) if gated else None
     base, found = [], []
     for r in sorted(gated, key=lambda r: r.number):
         for m in r.pattern.finditer(text):
-            first = text.count(" ", 0, m.start())
-            last = first + text.count(" ", m.start(), m.end())
+            first, last = np.searchsorted(spaces, m.span()).tolist()  # spaces before the match and up to its end
             if r.base:
                 base.append((first, r.label))
             found.append(Detection(r.label, first, last, r.priority, r.confidence, r.number))
@@ -220,11 +222,18 @@ def detect(words: bytes) -> tuple[list[tuple[int, str]], list[Detection]]:
 
 
 def resolve(found: list[Detection]) -> list[Detection]:
-    """Keeps detections in the order of priority, length and place; one inside a kept one is suppressed."""
+    """Keeps detections in the order of priority, length and place; one inside a kept one is suppressed. `firsts` and `lasts` are the kept intervals that are in no other: both rise, so the last one that starts early enough decides."""
     kept: list[Detection] = []
+    firsts: list[int] = []
+    lasts: list[int] = []
     for d in sorted(found, key=lambda d: (-d.priority, d.first - d.last, d.first, d.rule)):
-        if not any(k.first <= d.first and d.last <= k.last for k in kept):
-            kept.append(d)
+        at = bisect_right(firsts, d.first)
+        if at and lasts[at - 1] >= d.last:
+            continue
+        kept.append(d)
+        lo = at - 1 if at and firsts[at - 1] == d.first else at
+        hi = bisect_right(lasts, d.last, lo)
+        firsts[lo:hi], lasts[lo:hi] = [d.first], [d.last]
     return kept
 
 

@@ -27,6 +27,8 @@ from .common import bounded_batches, shared_dir, table, thrifty, written
 
 #: Index lines in a compressed block.
 BLOCK = 512
+#: Bytes of archives that a reading task is meant to take, bytes of an archive that are dealt out together, and index files whose directories a task keeps.
+READ_BYTES, STRETCH, OPEN_INDEXES = 32 << 20, 1 << 18, 64
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _MAGIC = b"LDIX"
@@ -145,10 +147,10 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, id_col:
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Writes the block files and returns the top of the index, a row per file: (first_key, file)."""
+    """Writes the block files and returns the top of the index, a row per file: (first_key, file, bytes), the bytes being those of the archives that its captures take."""
 
     def run(batches):
-        files, name, out, at, held, directory = _Files(folder), f"index-{_attempt()}.idx", None, 0, [], []
+        files, name, out, at, held, directory, size = _Files(folder), f"index-{_attempt()}.idx", None, 0, [], [], 0
 
         def flush():
             nonlocal out, at
@@ -160,6 +162,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             held.clear()
 
         for batch in batches:
+            size += sum(batch.column(3).to_pylist())
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append("\t".join(map(str, row)))
                 if len(held) == BLOCK:
@@ -170,10 +173,10 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             tail = zlib.compress("\n".join(f"{k}\t{a}\t{n}" for k, a, n in directory).encode(), 6)
             out.write(tail + struct.pack("<Q", len(tail)) + _MAGIC)
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([name])], names=["first_key", "file"])
+            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([name]), pa.array([size], pa.int64())], names=["first_key", "file", "bytes"])
 
     ranged = captures.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    return written(ranged.select("key", "file", "offset", "length").mapInArrow(thrifty(run), "first_key string, file string"), "index")
+    return written(ranged.select("key", "file", "offset", "length").mapInArrow(thrifty(run), "first_key string, file string, bytes long"), "index")
 
 
 class _IndexFile:
@@ -190,19 +193,16 @@ class _IndexFile:
         self.keys, self.places = [r[0] for r in rows], [(int(r[1]), int(r[2])) for r in rows]
         self.at, self.lines = -1, []
 
-    def find(self, key: str) -> list[tuple[str, int, int]]:
-        """All captures of a key: (archive, offset, length)."""
-        i = max(0, bisect.bisect_left(self.keys, key) - 1)
-        out = []
-        while i < len(self.keys) and self.keys[i] <= key:
-            if self.at != i:
-                self.lines, self.at = [x.split("\t") for x in zlib.decompress(self.files.read(self.name, *self.places[i])).decode().split("\n")], i
-            k = bisect.bisect_left(self.lines, key, key=lambda x: x[0])
-            while k < len(self.lines) and self.lines[k][0] == key:
-                out.append((self.lines[k][1], int(self.lines[k][2]), int(self.lines[k][3])))
-                k += 1
-            i += 1
-        return out
+    def blocks(self, key: str) -> range:
+        """The blocks that may have captures of a key, by binary search in the directory."""
+        return range(max(0, bisect.bisect_left(self.keys, key) - 1), bisect.bisect_right(self.keys, key))
+
+    def find(self, key: str, block: int) -> list[tuple[str, int, int]]:
+        """A key's captures in one block: (archive, offset, length)."""
+        if self.at != block:
+            self.lines, self.at = [x.split("\t") for x in zlib.decompress(self.files.read(self.name, *self.places[block])).decode().split("\n")], block
+        first, last = (cut(self.lines, key, key=lambda x: x[0]) for cut in (bisect.bisect_left, bisect.bisect_right))
+        return [(x[1], int(x[2]), int(x[3])) for x in self.lines[first:last]]
 
 
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -210,29 +210,41 @@ SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type s
 
 def lookup(keys: DataFrame, index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """SCHEMA of all captures of the keys (key), each asked for once however often it is given. A key without captures has no rows. A revisit's payload is null; its length and digest are those of the payload that it refers to. Without payloads, that column is null."""
-    top = sorted((r.first_key, r.file) for r in index.collect())  # a row for each index file: as many as the range partitions of the sort
+    top = sorted((r.first_key, r.file, r.bytes) for r in index.collect())  # a row for each index file: as many as the range partitions of the sort
     if not top:
         return keys.sparkSession.createDataFrame([], SCHEMA)
     firsts, names = [t[0] for t in top], [t[1] for t in top]
+    tasks = max(keys.sparkSession.sparkContext.defaultParallelism, -(-sum(t[2] for t in top) // READ_BYTES))
 
     def route(batches):
+        files, open_ = _Files(folder), {}
         for batch in batches:
-            got = batch.column(0).to_pylist()
-            # a key's captures may go on in the files that start with it
-            parts = [(k, p) for k in got for p in range(max(0, bisect.bisect_left(firsts, k) - 1), max(1, bisect.bisect_right(firsts, k)))]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.int32())], names=["key", "part"])
-
-    def run(batches):
+            parts = []
+            for key in batch.column(0).to_pylist():
+                # a key's captures may go on in the files, and the blocks, that start with it
+                for p in range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key)):
+                    if p not in open_:
+                        if len(open_) >= OPEN_INDEXES:
+                            open_.clear()
+                        open_[p] = _IndexFile(files, names[p])
+                    parts += [(key, p, i) for i in open_[p].blocks(key)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in parts], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32()))], names=["key", "part", "block"])
+
+    def places(batches):
         files, part, index = _Files(folder), -1, None
         for batch in batches:
-            places = []
-            for key, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = []
+            for key, p, i in zip(*(c.to_pylist() for c in batch.columns)):
                 if p != part:
                     part, index = p, _IndexFile(files, names[p])
-                places += index.find(key)
-            places.sort()
+                rows += index.find(key, i)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file", "offset", "length"])
+
+    def run(batches):
+        files = _Files(folder)
+        for batch in batches:
             rows = []
-            for place in places:
+            for place in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = zlib.decompress(files.read(*place), 31)
                 headers, payload = parse(raw)
                 full = headers["warc-type"] == "response"
@@ -242,8 +254,11 @@ def lookup(keys: DataFrame, index: DataFrame, folder: str, payloads: bool = True
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    routed = keys.select("key").distinct().mapInArrow(thrifty(route), "key string, part int")
-    return routed.repartition("part").sortWithinPartitions("part", "key").mapInArrow(thrifty(run), SCHEMA)
+    # index blocks are dealt to tasks, then stretches of the archives: a key with many captures is in many blocks and stretches
+    routed = keys.select("key").distinct().mapInArrow(thrifty(route), "key string, part int, block int")
+    found = routed.repartition(tasks, "part", "block").sortWithinPartitions("part", "block", "key").mapInArrow(thrifty(places), "file string, offset long, length long")
+    stretch = F.floor(F.col("offset") / STRETCH)
+    return found.repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset").mapInArrow(thrifty(run), SCHEMA)
 
 
 def archive(pages: DataFrame, min_revisit: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", payloads: bool = False) -> DataFrame:

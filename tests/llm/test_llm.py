@@ -91,6 +91,23 @@ def test_license_suppression():
     assert kept == ["apache-2.0"]
 
 
+def test_license_resolve_by_brute_force():
+    """Containment among kept detections, against comparing each with all; and every place of a long text's repeated phrase."""
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        found = []
+        for k in range(int(rng.integers(1, 40))):
+            first = int(rng.integers(0, 30))
+            found.append(licenses.Detection(f"l{k % 5}", first, first + int(rng.integers(0, 12)), int(rng.integers(0, 4)) * 10, 0.5, k))
+        kept = []
+        for d in sorted(found, key=lambda d: (-d.priority, d.first - d.last, d.first, d.rule)):
+            if all(d.first < k.first or d.last > k.last for k in kept):
+                kept.append(d)
+        assert licenses.resolve(found) == kept
+    got = licenses.scan_text(b"cc by foo " * 20_000)
+    assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"]) == (60_000, 20_000, 0, 59_997)
+
+
 def test_sharding(docs):
     got = sharding.shard_rows(docs).collect()
     want = sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in TEXTS)
@@ -355,6 +372,21 @@ def test_warc(spark):
     assert warc.surt("http://www.Example.com:8080/a?b") == "com,example,www:8080)/a?b"
 
 
+def test_warc_hot_keys_over_blocks(spark, monkeypatch):
+    """A page captured often has its captures in many index blocks and stretches; each is read back once. Keys that are not there give no rows."""
+    monkeypatch.setattr(warc, "BLOCK", 4)
+    monkeypatch.setattr(warc, "STRETCH", 300)
+    pages = spark.createDataFrame([(7, "http://hot.org/", f"<p>{i}</p>") if i % 3 else (100 + i, f"http://h{i}.org/", f"<p>{i}</p>") for i in range(90)], "page_id long, url string, html string")
+    folder = f"{warc.shared_dir(spark)}/warc-test"
+    captures = warc.write_archives(pages, folder)
+    index = warc.write_index(captures, folder)
+    hot = captures.groupBy("key").count().orderBy(F.desc("count")).first()
+    got = warc.lookup(spark.createDataFrame([(hot.key,), (hot.key,), ("zzz",), ("",)], "key string"), index, folder).collect()
+    assert hot["count"] == len(got) == 60 and {r.page_id for r in got} == {7}
+    want = sorted(warc.digest_of(f"<p>{i}</p>".encode()) for i in range(90))
+    assert sorted(r.payload_digest for r in warc.lookup(captures, index, folder).collect()) == want
+
+
 def test_pii(docs):
     got = {r.doc_id: r for r in pii.find_spans(docs).collect()}
     r = got[8]
