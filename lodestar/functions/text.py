@@ -1,8 +1,9 @@
-"""Text expressions: tokens, cleaning, statistics, parsers of model replies. All are native columns but Unicode NFC."""
+"""Text expressions: tokens, cleaning, statistics, parsers of model replies. All are native columns but Unicode NFC and character references."""
 
 from __future__ import annotations
 
 import unicodedata
+from html import unescape
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,16 +125,28 @@ def route(u: Column) -> Column:
     return out
 
 
+def entities_decoded(t: Column) -> Column:
+    """Character references as their characters; only texts with an ampersand leave the JVM, in batches."""
+    decode = F.udf(lambda x: None if x is None else unescape(x), "string", useArrow=True)
+    return F.when(F.contains(t, F.lit("&")), decode(t)).otherwise(t)
+
+
 def html_title(h: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    return F.nullif(F.trim(entities_decoded(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
+
+
+#: What is no text of a page, and where its text is looked for first.
+NO_TEXT = ("script", "style", "nav", "footer", "header", "aside", "form", "noscript", "svg", "iframe")
+MAIN = ("main", "article", "body")
 
 
 def html_text(h: Column) -> Column:
-    """The text of main, article or body without scripts, styles, navigation and forms; a line for each run of text."""
-    for tag in ("script", "style", "nav", "footer", "header", "aside", "form", "noscript", "svg", "iframe"):
+    """The text of main, article or body without comments, scripts, styles, navigation and forms, character references decoded; a line for each run of text."""
+    h = F.regexp_replace(h, r"(?s)<!--.*?-->", "")
+    for tag in NO_TEXT:
         h = F.regexp_replace(h, rf"(?is)<{tag}\b.*?</{tag}>", "")
-    part = F.coalesce(*[F.nullif(F.regexp_extract(h, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), F.lit("")) for tag in ("main", "article", "body")], h)
-    lines = F.transform(F.split(F.regexp_replace(part, r"(?s)<[^>]*>", "\n"), "\n"), lambda x: F.trim(x))
+    part = F.coalesce(*[F.nullif(F.regexp_extract(h, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), F.lit("")) for tag in MAIN], h)
+    lines = F.transform(F.split(entities_decoded(F.regexp_replace(part, r"(?s)<[^>]*>", "\n")), "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 

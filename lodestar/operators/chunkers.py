@@ -125,6 +125,40 @@ def chunk_metadata_aware(df: DataFrame, base_chunk_size: int = 600, overlap_char
     return _rows(df, F.when(whole.isNotNull(), one).otherwise(many), "metadata_aware", more={"split_reason": whole, "target_size_used": F.when(whole.isNull(), target)})
 
 
+def sentences(t: Column) -> Column:
+    """Cut at white space after . ! or ? and before a capital letter."""
+    return F.filter(F.transform(F.split(strip(t), r"(?<=[.!?])\s+(?=[A-Z])"), strip), lambda s: s != "")
+
+
+def _quantile(values: Column, q: float) -> Column:
+    """The q-quantile of a non-empty array, interpolated between its neighbours."""
+    at = lambda v: (F.size(v) - 1) * F.lit(q)
+    return bound(F.array_sort(values), lambda v: bound(F.floor(at(v)).cast("int"), lambda i: F.get(v, i) + (F.get(v, F.least(i + 1, F.size(v) - 1)) - F.get(v, i)) * (at(v) - i)))
+
+
+def chunk_semantic(df: DataFrame, embed, percentile: float = 95.0, min_chunk_size: int = 100, max_chunk_size: int = 1000, text_col: str = "text") -> DataFrame:
+    """Sentences grouped by topic: a group ends before a sentence whose similarity to the one before is below the text's (100 - percentile)th percentile. Longer groups are cut to max_chunk_size, shorter ones take the next in until they have min_chunk_size.
+
+    embed: a function of a text column that gives normalised vectors. A row's own array is folded; nothing is shuffled. A null or blank text has no chunks, a single sentence is one.
+    """
+    _need(0 < percentile < 100, "percentile must be between 0 and 100")
+    _need(min_chunk_size < max_chunk_size, "min_chunk_size must be less than max_chunk_size")
+    t = F.col(text_col)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    rows = df.select("doc_id", t.alias("_t"), sentences(t).alias("_s")).where(F.size("_s") > 0)
+    rows = rows.withColumn("_v", F.transform("_s", lambda s: embed(s)))
+    rows = rows.withColumn("_like", F.transform(F.slice("_v", 2, F.greatest(F.size("_v") - 1, F.lit(0))), lambda v, i: dot(F.get("_v", i), v)))
+    rows = rows.withColumn("_cut", F.when(F.size("_like") > 0, _quantile(F.col("_like"), 1 - percentile / 100)))
+    # first sentences of the groups, then the groups
+    starts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_like", i - 1) < F.col("_cut")))
+    groups = bound(starts, lambda g: F.transform(g, lambda i, k: F.array_join(F.slice("_s", i + 1, F.coalesce(F.get(g, k + 1), F.size("_s")) - i), " ")))
+    cut = F.flatten(F.transform(groups, lambda g: F.transform(F.sequence(F.lit(0), F.floor((F.length(g) - 1) / max_chunk_size).cast("int")), lambda i: F.substring(g, i * max_chunk_size + 1, F.lit(max_chunk_size)))))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("cur"))
+    merged = F.aggregate(cut, start, lambda a, p: F.when(a["cur"].isNull(), F.struct(a["out"].alias("out"), p.alias("cur"))).when(F.length(a["cur"]) < min_chunk_size, F.struct(a["out"].alias("out"), F.concat(a["cur"], F.lit(" "), p).alias("cur"))).otherwise(F.struct(F.concat(a["out"], F.array(a["cur"])).alias("out"), p.alias("cur"))), lambda a: F.concat(a["out"], F.array(a["cur"])))
+    pieces = F.when(F.size("_s") == 1, F.array(strip(F.col("_t")))).otherwise(merged)
+    return _rows(rows.withColumn("_pieces", pieces), located(F.col("_pieces"), F.col("_t"), 0), "semantic")
+
+
 def semantic_groups(sentences: DataFrame, percentile: float = 95.0) -> DataFrame:
     """(doc_id, pos, similarity, grp) from (doc_id, pos, vec): a break stands before a sentence whose similarity to the one before is below the document's (100 - percentile)th percentile."""
     from pyspark.sql import Window as W

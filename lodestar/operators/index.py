@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import bound, tokenize
 
 
 def top_k(scored: DataFrame, k: int, by=("query_id",), id_col: str = "chunk_id", score: str = "score") -> DataFrame:
@@ -15,10 +15,17 @@ def top_k(scored: DataFrame, k: int, by=("query_id",), id_col: str = "chunk_id",
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _runs(w: Column) -> Column:
+    """The distinct terms of a row's tokens with their numbers, by sorting them: array<struct<term, tf>>."""
+    first = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    count = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf")))
+    return bound(F.sort_array(w), lambda s: bound(first(s), lambda at: count(s, at)))
+
+
 def term_counts(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(chunk_id, term, tf, dl): counted within each chunk's own row, so the corpus is not shuffled by chunk."""
+    """(chunk_id, term, tf, dl): counted within each chunk's own row; nothing is shuffled."""
     tokens = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    return tokens.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return tokens.select("chunk_id", F.size("w").alias("dl"), F.explode(_runs(F.col("w"))).alias("x")).select("chunk_id", "x.term", "x.tf", "dl")
 
 
 def _with_df(tf: DataFrame) -> DataFrame:
@@ -52,14 +59,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def search_text(chunks: DataFrame, queries: DataFrame, k: int = 5, method: str = "bm25", k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The k best chunks of each query. Only postings of query terms are built: the terms' semi-join stands before the counts."""
+    """The k best chunks of each query.
+
+    Texts are read and tokenised once. Of a text's tokens those stay that a query has, and one empty term for the text itself; they are counted before the one exchange, which both the statistics (a row for each query term and one for the corpus) and the scores are made from. No term's postings come together in one place: rows are scored against the statistics, which grow with the queries only.
+    """
     wanted = query_terms(queries)
+    kept = wanted.select("term").distinct().unionByName(chunks.sparkSession.createDataFrame([("",)], "term string"))
     tokens = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    tf = tokens.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    stats = corpus_stats(chunks, id_col, text_col)
-    weighed = _with_df(tf).crossJoin(F.broadcast(stats))
+    found = tokens.select("chunk_id", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term")).join(F.broadcast(kept), "term", "left_semi")
+    rows = found.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # all columns are used on both ways, so both read one exchange
+    per = rows.groupBy("term").agg(F.count("chunk_id").alias("df"), F.sum("dl").alias("dl_sum"), F.sum("tf").alias("tf_sum")).where("tf_sum >= 0")
+    corpus = per.where("term = ''").select(F.col("df").alias("n"), (F.col("dl_sum") / F.col("df")).alias("avgdl"))
+    known = per.where("term <> ''").select("term", "df").crossJoin(F.broadcast(corpus)).join(F.broadcast(wanted), "term")
     weight = bm25_weight(F.lit(k1), F.lit(b)) if method == "bm25" else F.col("tf") / F.col("dl") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    hits = weighed.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight * F.col("qtf")), 6).alias("score"))
+    hits = rows.where("term <> ''").join(F.broadcast(known), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight * F.col("qtf")), 6).alias("score"))
     return top_k(hits, k).select("query_id", "chunk_id", "score", "rank")
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, strip, tokenize, words
+from ..functions.text import bound, contains_terms_share, strip, tokenize, words
 from .index import search_dense, top_k
 
 #: Stop words of the overlap check.
-STOP = ["what", "is", "how", "does", "the", "a", "an", "of", "in", "for", "to", "and", "or", "are", "was", "it", "do", "with", "on", "at", "by", "from"]
+STOP = ["is", "the", "a", "an", "how", "what", "does", "do", "and", "or", "of", "in", "to", "for", "it", "with", "where", "when", "who", "which", "are", "was", "were"]
 
 
 def matches(predicate: dict) -> Column:
@@ -92,6 +92,23 @@ def corrective_action(label: Column, share: Column, relevant: Column, k: int) ->
     return bound(F.when((said == "CORRECT") & (share < 0.3), F.lit("INCORRECT")).otherwise(said), lambda s: F.when(s == "CORRECT", F.lit("correct")).when((s == "AMBIGUOUS") & (relevant >= max(1, k // 2)), F.lit("ambiguous_filtered")).otherwise(F.lit("fallback")))
 
 
+def context_share(candidates: DataFrame, k: int, query: str = "query", content: str = "content") -> DataFrame:
+    """(query_id, share): the share of the query's words, stop words left out, that the first k candidates' texts have together."""
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", F.col(content).alias("c"))))), lambda s: s["c"])
+    joined = candidates.groupBy("query_id", query).agg(F.array_join(texts, " ").alias("_joined"))
+    return joined.select("query_id", contains_terms_share(F.col(query), F.col("_joined"), STOP).alias("share"))
+
+
+def passage_input(text: Column) -> Column:
+    """What a model with role prefixes embeds of a passage."""
+    return F.concat(F.lit("passage: "), text)
+
+
+def query_input(text: Column, instruction: str | None = None) -> Column:
+    """What is embedded of a query: after the role prefix, or after a model's instruction."""
+    return F.concat(F.lit(instruction if instruction is not None else "query: "), text)
+
+
 def prompt(ranked: DataFrame, content: str = "content", query: str = "query") -> DataFrame:
     """(query_id, prompt): numbered passages in rank order, then the question."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(content).alias("c")))), lambda s: F.concat(F.lit("["), s["rank"].cast("string"), F.lit("] "), strip(s["c"])))

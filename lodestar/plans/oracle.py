@@ -71,15 +71,22 @@ _REL = f"CASE WHEN len(gw) = 0 THEN false WHEN contains(lower(content), lower(go
 _RANKED = f"g1 AS (SELECT query_id, gold, {_words('lower(gold)')} AS gw FROM q), g AS (SELECT *, ceil(len(gw) * 0.6 - 1e-9)::BIGINT AS need FROM g1), rk AS (SELECT query_id, chunk_id, rank, lang, {_REL} AS relevant FROM (SELECT h.*, gold, gw, need, lang, text AS content, array_to_string({_words('lower(text)')}, ' ') AS flat FROM hits h JOIN g USING (query_id) JOIN documents ON doc_id = chunk_id))"
 _EVAL = "ev AS (SELECT q.query_id, CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall_at_1, CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall_at_3, CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall_at_5, coalesce(round(1.0::DOUBLE / first, 6), 0.0) AS mrr FROM q LEFT JOIN (SELECT query_id, min(rank) AS first FROM rk WHERE relevant GROUP BY 1) USING (query_id))"
 _OVER = f"round(len(list_intersect(list_distinct({_tok('query')}), {_tok('substring(content, 1, 512)')})) / greatest(len(list_distinct({_tok('query')})), 1)::DOUBLE, 6)"
-_STOP = "['what','is','how','does','the','a','an','of','in','for','to','and','or','are','was','it','do','with','on','at','by','from']"
+_STOP = "['is', 'the', 'a', 'an', 'how', 'what', 'does', 'do', 'and', 'or', 'of', 'in', 'to', 'for', 'it', 'with', 'where', 'when', 'who', 'which', 'are', 'was', 'were']"
+
+
+def _entities(x: str) -> str:
+    """The entities that the pages have; &amp; comes last, so that nothing is decoded twice."""
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    return x
 
 
 def _html() -> str:
-    h = "html"
+    h = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
     for tag in ("script", "style", "nav", "footer", "header", "aside", "form", "noscript", "svg", "iframe"):
         h = rf"regexp_replace({h}, '(?is)<{tag}\b.*?</{tag}>', '', 'g')"
     part = "coalesce(" + ", ".join(rf"nullif(regexp_extract(h, '(?is)<{tag}\b[^>]*>(.*?)</{tag}>', 1), '')" for tag in ("main", "article", "body")) + ", h)"
-    return f"WITH x AS (SELECT page_id, {h} AS h FROM pages), y AS (SELECT page_id, {part} AS p FROM x) SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(p, '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda z: trim(z)), lambda z: z <> ''), chr(10)) AS content FROM y"
+    return f"WITH x AS (SELECT page_id, {h} AS h FROM pages), y AS (SELECT page_id, {part} AS p FROM x) SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(p, '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda z: trim({_entities('z')})), lambda z: z <> ''), chr(10)) AS content FROM y"
 
 
 _CLEAN = "'  ' || chr(8203) || replace(text, ' the ', '  the' || chr(9) || chr(1) || ' ') || ' e' || chr(769) || repeat(chr(10), 4) || '  x ' || chr(10) || ' '"
@@ -131,7 +138,7 @@ ORACLE: dict[str, str] = {
     "transcript_full": f"WITH x AS (SELECT conv_id AS video_id, {_strip('text')} AS t, (turn * 701.5)::DOUBLE AS start FROM conversations) SELECT video_id, coalesce(string_agg(t, ' ' ORDER BY start, t) FILTER (t <> ''), '') AS content, max(start) + 4.25 AS duration_seconds, count(*) AS segment_count FROM x GROUP BY 1",
     "url_video_id": "WITH x AS (SELECT page_id, substring(md5(page_id::VARCHAR), 1, 11) AS k, url FROM pages) SELECT page_id, CASE WHEN page_id % 5 < 4 THEN k ELSE coalesce(nullif(regexp_extract(url, '^([A-Za-z0-9_-]{11})$', 1), ''), nullif(regexp_extract(url, 'youtu\\.be/([A-Za-z0-9_-]{11})', 1), ''), nullif(regexp_extract(url, '[?&]v=([A-Za-z0-9_-]{11})', 1), ''), nullif(regexp_extract(url, '/(?:shorts|embed)/([A-Za-z0-9_-]{11})', 1), '')) END AS video_id FROM x",
     "route_source": "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'pdf' WHEN page_id % 4 = 1 THEN 'youtube' WHEN page_id % 4 = 2 THEN NULL WHEN regexp_matches(url, '^https?://[^/]*(youtube\\.com|youtu\\.be)') THEN 'youtube' WHEN regexp_matches(url, '^https?://') THEN 'html' END AS loader FROM pages",
-    "html_title": "SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages",
+    "html_title": "SELECT page_id, nullif(trim(" + _entities("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + "), '') AS title FROM pages",
     "html_extract": _html(),
     "is_relevant": f"{_search(_bm25(), 5, _GOLD)}, {_RANKED} SELECT query_id, chunk_id, rank, relevant FROM rk",
     "eval_recall_mrr": f"{_search(_bm25(), 5, _GOLD)}, {_RANKED}, {_EVAL} SELECT * FROM ev",
@@ -152,10 +159,16 @@ ORACLE: dict[str, str] = {
     "raptor_stats": "SELECT 0 AS level, count(*) AS nodes FROM embeddings UNION ALL SELECT 1, count(DISTINCT label) FROM embeddings UNION ALL SELECT 2, count(DISTINCT label % 3) FROM embeddings",
     "crag_overlap": f"{_search(_bm25(), 3)}, {_CAND}, x AS (SELECT query_id, chunk_id, lower(content) AS c, list_filter(list_distinct(string_split_regex(lower(query), '\\s+')), lambda v: NOT list_contains({_STOP}, v)) AS q FROM cand) SELECT query_id, chunk_id, round(CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_filter(q, lambda v: contains(c, v))) / len(q)::DOUBLE END, 6) AS overlap FROM x",
     "self_rag_filter": f"{_search(_bm25(), 10)}, {_CAND}, x AS (SELECT query_id, chunk_id, rank, {_OVER} >= 0.75 AS relevant FROM cand), y AS (SELECT *, sum(relevant::INT) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id, relevant ORDER BY rank) AS i FROM x) SELECT query_id, chunk_id, rank, relevant, n < 1 AS fallback FROM y WHERE (n >= 1 AND relevant AND i <= 5) OR (n < 1 AND rank <= 1)",
-    "embed_prefix": "SELECT doc_id, substring('passage: ' || text, 1, 40) AS passage, substring('Represent this sentence for searching relevant passages: ' || text, 1, 80) AS query FROM documents",
+    "embed_prefix": "SELECT doc_id, 'passage: ' || text AS passage, 'Represent this sentence for searching relevant passages: ' || text AS query FROM documents",
 }
 
 #: The same searches with every vector whose id is divisible by 50 as a query.
 ORACLE |= {f"{name}_all": ORACLE[name].replace("vec_id IN (0, 1, 2, 3)", "vec_id % 50 = 0") for name in ("dense_topk", "dense_cosine", "dense_l2", "tenant_topk")}
 #: Prompts of whole passages.
+ORACLE["crag_route"] = (
+    f"{_search(_bm25(), 6)}, {_CAND}, ctx AS (SELECT query_id, lower(content) AS c, rank, list_filter(list_distinct(string_split_regex(lower(query), '\\s+')), lambda v: NOT list_contains({_STOP}, v)) AS q FROM cand), "
+    "ctx_q AS (SELECT query_id, any_value(q) AS q, string_agg(c, ' ' ORDER BY rank) AS c, count(*) FILTER (WHERE CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_filter(q, lambda v: contains(c, v))) / len(q)::DOUBLE END >= 0.5) AS relevant FROM ctx GROUP BY query_id), "
+    "ctx_s AS (SELECT query_id, relevant, CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_filter(q, lambda v: contains(c, v))) / len(q)::DOUBLE END AS share FROM ctx_q) "
+    "SELECT query_id, CASE WHEN share > 0.6 THEN 'correct' WHEN relevant >= 1 THEN 'ambiguous_filtered' ELSE 'fallback' END AS crag_action FROM ctx_s"
+)
 ORACLE["build_prompt_whole"] = ORACLE["build_prompt"].replace("substring(content, 1, 200)", "content")

@@ -15,6 +15,8 @@ from ..sources import readers as S
 #: The stated text queries, and the ids of the stated query vectors.
 TEXT_QUERIES = [("q1", "licensed under the general public license"), ("q2", "all rights reserved the"), ("q3", "der die und von"), ("q4", "que la los en")]
 VECTOR_IDS = (0, 1, 2, 3)
+#: Fixed value: what an instruction model expects before a query.
+INSTRUCTION = "Represent this sentence for searching relevant passages: "
 K = 5
 
 
@@ -249,6 +251,10 @@ def clean_text(spark, sf):
     return docs(spark, sf).select("doc_id", T.clean(messy).alias("c")).select("doc_id", F.length("c").alias("n_chars_clean"), F.md5("c").alias("clean_md5"))
 
 
+def chunk_semantic(spark, sf):
+    return C.chunk_semantic(docs(spark, sf), R.hash_embed)
+
+
 def lang_gate(spark, sf):
     guess, p = F.when(F.contains("text", F.lit("ß")), F.lit("de")).otherwise(F.lit("fr")), F.when(F.col("doc_id") % 3 == 0, F.lit(0.9)).otherwise(F.lit(0.5))
     gated = F.when(~F.col("lang").isin("en", "unknown", ""), F.col("lang")).when(F.length("text") < 50, F.lit("en")).when(p >= 0.85, guess).otherwise(F.lit("en"))
@@ -430,8 +436,8 @@ def crag_overlap(spark, sf):
 
 def crag_route(spark, sf):
     c = _candidates(spark, sf, 6)
-    share = T.contains_terms_share(F.col("query"), F.col("content"), R.STOP)
-    per = c.groupBy("query_id").agg(F.max(share).alias("share"), F.count_if(share >= 0.5).alias("relevant"))
+    relevant = c.groupBy("query_id").agg(F.count_if(T.contains_terms_share(F.col("query"), F.col("content"), R.STOP) >= 0.5).alias("relevant"))
+    per = R.context_share(c, 6).join(relevant, "query_id")
     return per.select("query_id", R.corrective_action(F.when(F.col("share") > 0.6, F.lit("CORRECT")).otherwise(F.lit("AMBIGUOUS")), F.col("share"), F.col("relevant"), 3).alias("crag_action"))
 
 
@@ -447,7 +453,7 @@ def agentic_union(spark, sf):
 
 
 def embed_prefix(spark, sf):
-    return docs(spark, sf).select("doc_id", F.substring(F.concat(F.lit("passage: "), "text"), 1, 40).alias("passage"), F.substring(F.concat(F.lit("Represent this sentence for searching relevant passages: "), "text"), 1, 80).alias("query"))
+    return docs(spark, sf).select("doc_id", R.passage_input(F.col("text")).alias("passage"), R.query_input(F.col("text"), INSTRUCTION).alias("query"))
 
 
 def embed_batches(spark, sf):
@@ -471,5 +477,5 @@ QUERIES = {
     "is_relevant": is_relevant, "eval_recall_mrr": eval_recall_mrr, "eval_by_source": eval_by_source, "leaderboard": leaderboard, "faithfulness_4gram": faithfulness_4gram, "cache_key": cache_key, "cache_misses": cache_misses, "cache_stats": cache_stats, "index_upsert": index_upsert, "index_delete": index_delete,
     "ivf_centroids": ivf_centroids, "ivf_search": ivf_search, "ivf_search_all": _trained(*IVF), "ann_lsh": _trained(*ANN), "raptor_level1": raptor_level1, "raptor_tree": raptor_tree, "raptor_stats": raptor_stats, "raptor_search": raptor_search, "crag_overlap": crag_overlap, "crag_route": crag_route, "self_rag_filter": self_rag_filter, "agentic_union": agentic_union,
     "method_diff": method_diff, "rewrite_search": rewrite_search, "embedding_cost": embedding_cost,
-    "embed_prefix": embed_prefix, "embed_batches": embed_batches, "md_sections": md_sections,
+    "chunk_semantic": chunk_semantic, "embed_prefix": embed_prefix, "embed_batches": embed_batches, "md_sections": md_sections,
 }

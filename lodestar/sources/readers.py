@@ -45,22 +45,31 @@ def row_text(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.concat_ws(" | ", *[one(c) for c in columns or df.columns])
 
 
-def table_text(df: DataFrame, order: str) -> DataFrame:
-    """One Markdown table of all rows: a document, so it is one row by nature; for tables that fit a document."""
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
-    head = "| " + " | ".join(df.columns) + " |\n| " + " | ".join("---" for _ in df.columns) + " |"
-    rows = df.agg(F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("line")))).alias("r"), F.count(F.lit(1)).alias("row_count"))
-    return rows.select(F.concat(F.lit(head + "\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n")).alias("content"), "row_count", F.lit(len(df.columns)).alias("column_count"))
-
-
-def read_csv(spark: SparkSession, path: str, strategy: str = "row", min_chars: int = 5, columns: list[str] | None = None) -> DataFrame:
-    """Rows or whole tables; all values stay as they are written."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True)
+def table_text(df: DataFrame, order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One Markdown table of all rows, or one for each value of `by`, in the order of a column: a document, so it is one row by nature; for tables that fit a document."""
+    columns = [c for c in df.columns if c not in (*by, *((order,) if by else ()))]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
+    head = "| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |"
+    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("line")))).alias("r"), F.count(F.lit(1)).alias("row_count"))
+    return rows.select(*by, F.concat(F.lit(head + "\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n")).alias("content"), "row_count", F.lit(len(columns)).alias("column_count"))
+
+
+def read_csv(spark: SparkSession, path: str, strategy: str = "row", min_chars: int = 5, columns: list[str] | None = None, max_rows: int | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """A document for each row, or one Markdown table for each file; all values stay as they are written. Rows are numbered from 0 in each file, in its order, so ids are the same in each run. max_rows: rows of a file that are read, at most."""
+    from pyspark.sql import Window as W
+
+    # a file with line feeds in its values is read by one task, in order
+    read = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, encoding=encoding)
+    names = read.columns
+    place = F.row_number().over(W.partitionBy("source").orderBy("_at")) - 1
+    df = read.select("*", F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("_at")).withColumn("row_index", place).drop("_at")
+    if max_rows is not None:
+        df = df.where(F.col("row_index") < max_rows)
     if strategy == "row":
-        numbered = df.select(row_text(df, columns).alias("content"), F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("row_index"))
-        return numbered.where(F.length("content") >= min_chars).withColumn("doc_id", doc_id(F.col("source"), F.col("row_index")))
+        rows = df.select(row_text(df.select(*names), columns).alias("content"), "source", "row_index", F.lit(len(names)).alias("column_count"))
+        return rows.where(F.length("content") >= min_chars).withColumn("doc_id", doc_id(F.col("source"), F.col("row_index")))
     if strategy == "file":
-        return table_text(df, df.columns[0])
+        return table_text(df, "row_index", by=("source",)).withColumn("doc_id", doc_id(F.col("source"), F.lit(0)))
     raise ValueError(f"unknown strategy {strategy}")
 
 

@@ -1,11 +1,17 @@
 """Settings, query rewriting and continuous ingest."""
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.config import load_settings
 from lodestar.operators import rewrite as Q
-from lodestar.operators.chunkers import chunk_recursive
+from lodestar.operators.chunkers import chunk_recursive, chunk_semantic
+from lodestar.operators.index import search_text
+from lodestar.operators.retrieve import hash_embed
+from lodestar.sources.readers import read_csv
 from lodestar.streaming.ingest import SCHEMA, current, ingest
 
 
@@ -25,6 +31,62 @@ def test_settings(spark, tmp_path):
         load_settings(str(path))
 
 
+def test_read_csv_keeps_the_file_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name,n\nzeta,1\nalpha,2\n"mid\ndle",\n')
+    (tmp_path / "b.csv").write_text("name,n\nonly,7\n")
+    rows = {(r.source[-5:], r.row_index): r.content for r in read_csv(spark, str(tmp_path), min_chars=1).collect()}
+    assert rows == {("a.csv", 0): "name: zeta | n: 1", ("a.csv", 1): "name: alpha | n: 2", ("a.csv", 2): "name: mid\ndle", ("b.csv", 0): "name: only | n: 7"}
+    files = {r.source[-5:]: r for r in read_csv(spark, str(tmp_path), "file", max_rows=2).collect()}
+    assert files["a.csv"].content == "| name | n |\n| --- | --- |\n| zeta | 1 |\n| alpha | 2 |" and (files["a.csv"].row_count, files["a.csv"].column_count) == (2, 2)
+    assert files["b.csv"].row_count == 1
+    with pytest.raises(ValueError, match="strategy"):
+        read_csv(spark, str(tmp_path), "page")
+
+
+def _semantic(text, vectors, percentile, low, high):
+    """Chunks by the specification, in plain Python."""
+    parts = [s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", text.strip()) if s.strip()]
+    if len(parts) < 2:
+        return [text.strip()] if text.strip() else []
+    like = [sum(a * b for a, b in zip(vectors[x], vectors[y])) for x, y in zip(parts, parts[1:])]
+    cut, groups = np.percentile(like, 100 - percentile), [[parts[0]]]
+    for s, v in zip(parts[1:], like):
+        if v < cut:
+            groups.append([])
+        groups[-1].append(s)
+    whole = [" ".join(g) for g in groups]
+    out, cur = [], None
+    for p in [g[i : i + high] for g in whole for i in range(0, len(g), high)]:
+        if cur is not None and len(cur) < low:
+            cur += " " + p
+        else:
+            out, cur = out + [cur] * (cur is not None), p
+    return out + [cur]
+
+
+def test_chunk_semantic(spark):
+    rng = np.random.default_rng(1)
+    texts = [None, "", "  ", "One sentence only", "A b. C d! E f? G h."] + [" ".join(" ".join(rng.choice(["red", "blue", "sky", "stone", "river"], rng.integers(1, 9))).capitalize() + "." for _ in range(int(n))) for n in rng.integers(2, 60, 25)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parts = sorted({s.strip() for x in texts if x for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", x.strip())})
+    vectors = {r.s: r.v for r in spark.createDataFrame([(s,) for s in parts], "s string").select("s", hash_embed(F.col("s")).alias("v")).collect()}
+    got = {}
+    for r in chunk_semantic(df, hash_embed, 80.0, 30, 90).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append(r.content)
+        assert texts[r.doc_id][r.start_index : r.end_index] == r.content or r.content not in texts[r.doc_id][r.start_index :]
+    assert got == {i: want for i, x in enumerate(texts) if x and (want := _semantic(x, vectors, 80.0, 30, 90))}
+
+
+def test_search_text_reads_once(spark):
+    """One scan of the texts; the exchange of counted rows is used again."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    queries = spark.createDataFrame([("a", "the license of the")], "query_id string, query string")
+    plan = search_text(df, queries)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.count("FileScan") - text.count("ReusedExchange") <= 1 and "ReusedExchange" in text
+
+
 def test_rewritten(spark):
     queries = spark.createDataFrame([("a", "what is it"), ("b", "who")], "query_id string, query string")
     reply = lambda p: F.when(F.contains(p, F.lit("who")), F.lit("  ")).otherwise(F.concat(F.lit(" Re: "), F.substring_index(p, "Question: ", -1)))

@@ -14,8 +14,14 @@ def _one(spark, value, column):
 
 
 def test_clean(spark):
-    messy = "Café​   is nice.\n\n\n\n\nCafé  is nice.\x00\x0eHello\r\nworld.  "
-    assert _one(spark, messy, T.clean) == "Café is nice.\n\nCafé is nice.Hello\nworld."
+    messy = "\ufeffa\x01 rose\u200d  by\x07 any\t\n\n\n\nother\x7f \t name \ncafe\u0301 "
+    assert _one(spark, messy, T.clean) == "a rose by any\n\nother name\ncafé"
+
+
+def test_html_references_and_comments(spark):
+    page = "<html><head><title>A &amp; B</title></head><body><!-- a > b --><p>x &lt; y &#233;</p>\n<script>no</script><p>&amp;lt; <!-- <p>gone</p> -->last</p></body></html>"
+    assert _one(spark, page, T.html_title) == "A & B"
+    assert _one(spark, page, T.html_text) == "x < y é\n&lt; last"
 
 
 def test_parsers(spark):
