@@ -1,7 +1,7 @@
 """Personal data, and information-theoretic sanitisation of the terms that give it away.
 
 Entities (e-mail addresses, IP addresses, card and phone numbers) are found by pattern and check. They are what has to be protected. A term (a word of letters) in a text with an entity may reveal it: if c of the df rows that have the term have entity e too, then it tells PMI(t; e) = log2(p(e|t) / p(e)) bits of the IC(e) = -log2 p(e) bits that name e.
-p(e|t) is estimated as (c + SMOOTH p(e)) / (df + SMOOTH), so a term seen seldom tells less than its bare counts say. The share PMI / IC is the term's disclosure, the largest over all entities that it stands with. From GENERALISE on a term is generalised, from REMOVE on it is removed. All counts are over all rows, and all terms of a text count, at any distance from the entity.
+p(e|t) is estimated as (c + SMOOTH p(e)) / (df + SMOOTH), so a term seen seldom tells less than its bare counts say. The share PMI / IC is the term's disclosure, the largest over all entities that it stands with. From GENERALISE on a term is generalised to the kind of word above it, from REMOVE on it is removed. All counts are over all rows, and all terms of a text count, at any distance from the entity.
 
 Three scans: entities and the terms of texts that have one; document frequencies of those terms; occurrences of the revealing terms. Entities of one text only have the same counts with each of its terms, so they are one entity there; pairs are counted for the others. Terms are 64-bit hashes. A bitmap of fixed size tells the later scans which words can matter; an exact join follows.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -232,10 +233,17 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,action:string>>")))
 
 
+def parent_of(term: str) -> str:
+    """What a generalised term becomes: the kind of word above it, told by its letters. A word, a name or an acronym of a script; so what it says of its sentence's form stays, and which word it was does not."""
+    script = "" if term.isascii() else unicodedata.name(next(c for c in term if not c.isascii()), "").split(" ")[0] + " "
+    kind = "ACRONYM" if term.isupper() and len(term) > 1 else "NAME" if term[0].isupper() else "WORD"
+    return f"[{'' if script == 'LATIN ' else script}{kind}]"
+
+
 def clean_text(text: str, terms: str | None = None) -> str:
-    """Entities become a label of their kind, generalised terms a label, removed terms nothing; overlapping spans become one, the first one's. terms: start:end:action, comma-joined."""
+    """Entities become a label of their kind, generalised terms the kind of word that they are (parent_of), removed terms nothing; overlapping spans become one, the first one's. terms: start:end:action, comma-joined."""
     cuts = [(a, b, f"[{k.upper()}]") for k, a, b in entities(text)]
-    cuts += [(int(a), int(b), "[TERM]" if action == "generalise" else "") for a, b, action in (x.split(":") for x in (terms or "").split(",") if x)]
+    cuts += [(int(a), int(b), parent_of(text[int(a) : int(b)]) if action == "generalise" else "") for a, b, action in (x.split(":") for x in (terms or "").split(",") if x)]
     out, at = [], 0
     for a, b, label in sorted(cuts):
         if a >= at:
@@ -245,7 +253,7 @@ def clean_text(text: str, terms: str | None = None) -> str:
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with its texts sanitised; same rows, same columns. A null text stays null. Entities are found again where they are replaced, so only rows with revealing terms are joined by key."""
+    """df with its texts sanitised; same rows, same columns. A null text stays null; equal rows are edited alike; an empty table gives no rows. df's columns may have any names but _d, _k, _key and _terms. Entities are found again where they are replaced, so only rows with revealing terms are joined by key."""
     joined = F.array_join(F.transform("terms", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["action"])), ",")
     spans = written(find_spans(df, id_col, text_col).where("size(terms) > 0").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), joined.alias("_terms")).distinct(), "spans")
     key = F.udf(lambda t: None if t is None else _hash(t.encode()), "long", useArrow=True)

@@ -403,6 +403,34 @@ def test_emails_match_the_pattern():
         assert pii._emails(x) == [("email", m.start(), m.end()) for m in plain.finditer(x)]
 
 
+def _luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_op7_base_by_brute_force(spark, docs, tmp_path):
+    """All four kinds, their counts, digests and spans, on planted and random texts, against the contract's patterns as they stand."""
+    rng = np.random.default_rng(11)
+    pieces = ["a@b.co", "x.y+z@h-1.org.net", "@", "10.0.0.1", "256.1.1.1", "1.2.3.4.5", "001.2.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "5500000000000004", "+1 (988) 555-2485", "+12", "+44.20 7946-0958", " ", "\n", "-", "é", "word", "7", "12345678901234567890"]
+    texts = ["".join(rng.choice(pieces, int(rng.integers(0, 14)))) for _ in range(300)] + [t for _, t, _ in TEXTS]
+    folder = f"{tmp_path}/sf"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    holds = {"email": lambda x: True, "ip": lambda x: all(int(p) <= 255 for p in x.split(".")), "card": lambda x: 16 <= len(digits(x)) <= 19 and _luhn(digits(x)), "phone": lambda x: 8 <= len(digits(x)) <= 15}
+    for r in pii.op7_pii(spark, folder).collect():
+        text = texts[r.doc_id] or ""
+        want = [(k, m.start(), m.end()) for k, p in plain.items() for m in re.finditer(p, text) if holds[k](m[0])]
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for x, _, _ in want) for k in plain)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and r.spans.startswith(base)
+        assert all(re.fullmatch(r"term:\d+:\d+", x) for x in r.spans[len(base) :].split(",") if x)
+
+
+def test_generalised_terms():
+    assert [pii.parent_of(x) for x in ("word", "Name", "NATO", "Éva", "日本", "Ивана")] == ["[WORD]", "[NAME]", "[ACRONYM]", "[NAME]", "[CJK WORD]", "[CYRILLIC NAME]"]
+    assert pii.clean_text("See Zara of acme", "4:8:generalise,12:16:remove") == "See [NAME] of "
+
+
 def test_revealing_terms(spark):
     texts = [(i, f"note {i} about zanzibarius person@secret.example.org today and common words", "a") for i in range(6)] + [(10 + i, f"common words about nothing {i} today and note", "a") for i in range(60)]
     got = {r.doc_id: r for r in pii.find_spans(spark.createDataFrame(texts, "doc_id long, text string, source string")).collect()}
