@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    On a cluster it is what ``spark.checkpoint.dir`` names; only where that is unset (tests, one machine) a temporary folder is made and set.
+    It is what ``spark.checkpoint.dir`` names. Where that is unset, a session that runs on this machine alone gets a temporary folder; on a cluster that is an error, since no executor could read what another writes.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/lodestar/{spark.sparkContext.applicationId}"
