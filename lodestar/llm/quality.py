@@ -142,7 +142,8 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else -math.inf
 
 
-def _grow(bad: list[dict], good: list[dict], most: int = 4) -> Rule:
+def _grow(bad: list[dict], good: list[dict], without: set[tuple[str, bool]], most: int = 4) -> Rule:
+    """The rule that gains most, condition by condition; its first condition is on none of `without`."""
     rule = Rule([])
     while good and len(rule.conditions) < most:
         best, at = 0.0, None
@@ -153,6 +154,8 @@ def _grow(bad: list[dict], good: list[dict], most: int = 4) -> Rule:
 
                 p_low, n_low = bisect_right(b, t), bisect_right(g, t)
                 for above, p, n in ((False, p_low, n_low), (True, len(b) - p_low, len(g) - n_low)):
+                    if not rule.conditions and (f, above) in without:
+                        continue
                     if p >= SUPPORT and (gain := _gain(p, n, len(bad), len(good))) > best + 1e-9:
                         best, at = gain, (f, above, t)
         if at is None:
@@ -168,13 +171,13 @@ def _score(rule: Rule, bad: list[dict], good: list[dict]) -> tuple[float, int, i
 
 
 def learn(rows: list[dict], precision: float = PRECISION, most: int = 16) -> DecisionList:
-    """Sequential covering over rows with FEATURES, `bad` and a `fold` from 0 to 2: folds 0 and 1 grow, fold 2 prunes and judges. No rejected or no kept rows: an empty list, which keeps all."""
-    out = DecisionList()
+    """Sequential covering over rows with FEATURES, `bad` and a `fold` from 0 to 2: folds 0 and 1 grow, fold 2 prunes and judges. A rule that is not precise enough is dropped, and the next one starts from another condition. No rejected or no kept rows: an empty list, which keeps all."""
+    out, without = DecisionList(), set()
     grow, held = [r for r in rows if r["fold"] != 2], [r for r in rows if r["fold"] == 2]
     good, held_good = [r for r in grow if not r["bad"]], [r for r in held if not r["bad"]]
     bad, held_bad = [r for r in grow if r["bad"]], [r for r in held if r["bad"]]
     while len(bad) >= SUPPORT and good and len(out.rules) < most:
-        rule = _grow(bad, good)
+        rule = _grow(bad, good, without)
         if not rule.conditions:
             break
         while len(rule.conditions) > 1:  # drops final conditions while that is no worse on the rows held out
@@ -185,7 +188,8 @@ def learn(rows: list[dict], precision: float = PRECISION, most: int = 16) -> Dec
         _, p, n = _score(rule, held_bad, held_good)
         _, grown, grown_n = _score(rule, bad, good)
         if not p or p < precision * (p + n) or grown < SUPPORT or grown < precision * (grown + grown_n):
-            break
+            without.add(rule.conditions[0][:2])
+            continue
         rule.precision, rule.covered = p / (p + n), grown + p
         out.rules.append(rule)
         bad, held_bad, good, held_good = ([r for r in x if not rule.meets(r)] for x in (bad, held_bad, good, held_good))
@@ -201,7 +205,8 @@ def label_sample(labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int =
 def fit(stats: DataFrame, sample: DataFrame) -> DecisionList:
     """Learns the list from the rows of stats that label_sample() covers; quality 0 is to be rejected. Rows that fail the base rules are not learned from: they are gone before the list."""
     rows = stats.where(~base_failed()).join(F.broadcast(sample), "doc_id").select((F.col("quality") == 0).alias("bad"), F.pmod("h", F.lit(3)).alias("fold"), *[v.alias(k) for k, v in features().items()])
-    return learn([r.asDict() for r in rows.orderBy("fold", *FEATURES, "bad").collect()])
+    order = ["fold", *FEATURES, "bad"]
+    return learn(sorted((r.asDict() for r in rows.collect()), key=lambda r: [r[c] for c in order]))
 
 
 def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
