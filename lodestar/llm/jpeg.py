@@ -3,13 +3,14 @@
 The decoder reads a progressive JPEG scan by scan. Each scan holds a spectral band (Ss to Se) of some components at a successive approximation (Ah, Al) and adds to the components' coefficient arrays. Then numpy transforms the blocks back, repeats chroma samples up to full resolution, and turns YCbCr into RGB. Any Huffman tables, sampling factors and
 restart intervals are read; where a table has one code only, so that each coefficient takes as many bits, or where a refinement only corrects, a scan is read as arrays instead of bit by bit.
 
-The payload column stores bytes losslessly in the format's unit, the quantised coefficient: 192 bytes are one 8 x 8 block of each of three components. A byte b becomes an AC coefficient b + 256; a first scan holds them without their lowest two bits, two refinement scans add one bit each. A DC byte is the difference
-of two neighbouring blocks' DC coefficients, plus or minus b + 256 with the sign that keeps them small.
+The payload column stores bytes losslessly in the format's unit, the quantised coefficient: 64 bytes are one 8 x 8 block, and six blocks a group of 16 x 16 pixels, four of luma and one of each chroma at half the resolution both ways. A byte b becomes an AC coefficient b + 256; a first scan holds them without their lowest two bits, two refinement scans add one bit each. A DC byte is the difference
+of two blocks' DC coefficients that follow each other, plus or minus b + 256 with the sign that keeps them small. The features come from the full-resolution RGB tensors.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from .common import bounded_batches, by_bytes, table, text_of, thrifty
 
 UNIT = 192
-#: Blocks down an image, at most.
-ROWS = 8191
+#: Blocks of a group, luma first; groups down an image, at most.
+GROUP, ROWS = (4, 1, 1), 4095
 AL = 2
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 _EOBS = bytes(n << 4 for n in range(15))
@@ -58,15 +59,17 @@ def _bits(values: np.ndarray, width: int) -> np.ndarray:
     return (values[..., None] >> np.arange(width - 1, -1, -1) & 1).astype(np.uint8)
 
 
-def _dc_bits(block_bytes: np.ndarray) -> np.ndarray:
-    """(blocks, 3) DC bytes -> bits of their differences: one code bit and nine value bits each."""
-    size = block_bytes.astype(np.int64) + 256
-    sign = np.empty(size.shape, bool)
-    for c in range(3):
-        at = 0
-        for k, m in enumerate(size[:, c].tolist()):
-            sign[k, c] = at > 0
+def _dc_bits(group_bytes: np.ndarray) -> np.ndarray:
+    """(groups, 6) DC bytes -> bits of their differences: one code bit and nine value bits each."""
+    size = group_bytes.astype(np.int64) + 256
+    sign, start = np.empty(size.shape, bool), 0
+    for many in GROUP:
+        at, down = 0, []
+        for m in size[:, start : start + many].reshape(-1).tolist():
+            down.append(at > 0)
             at += -m if at > 0 else m
+        sign[:, start : start + many] = np.array(down, bool).reshape(-1, many)
+        start += many
     return _bits(np.where(sign, 511 - size, size), 10).reshape(-1)  # the code is 0, the value's top bit
 
 
@@ -92,20 +95,20 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     """A progressive JPEG of each payload, whose length must be a positive multiple of UNIT."""
     out = []
     for payload in payloads:
-        units = np.frombuffer(payload, np.uint8).reshape(-1, 3, 64)
-        n = len(units)
-        columns = -(-n // ROWS)
-        rows = -(-n // columns)
-        if columns * rows > n:
-            units = np.concatenate([units, np.zeros((columns * rows - n, 3, 64), np.uint8)])
-        blocks = len(units)
-        parts = [_HEAD, _segment(0xFE, struct.pack(">Q", len(payload))), _segment(0xC2, struct.pack(">BHHB", 8, rows * 8, columns * 8, 3) + bytes(x for c in (1, 2, 3) for x in (c, 0x11, 0))), _DC_TABLE, _scan([1, 2, 3], 0, 0, 0, 0), _packed(_dc_bits(units[:, :, 0])), _FIRST_TABLE]
-        for c in range(3):
-            parts += [_scan([c + 1], 1, 63, 0, AL), ((units[:, c, 1:] >> AL) + (256 >> AL)).astype(np.uint8).tobytes()]
+        blocks = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        groups = -(-len(blocks) // sum(GROUP))
+        columns = -(-groups // ROWS)
+        rows = -(-groups // columns)
+        blocks = np.concatenate([blocks, np.zeros((columns * rows * sum(GROUP) - len(blocks), 64), np.uint8)]).reshape(-1, sum(GROUP), 64)
+        planes = [blocks[:, :4].reshape(rows, columns, 2, 2, 64).swapaxes(1, 2).reshape(-1, 64)[:, 1:], blocks[:, 4, 1:], blocks[:, 5, 1:]]
+        size = struct.pack(">BHHB", 8, rows * 16, columns * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+        parts = [_HEAD, _segment(0xFE, struct.pack(">Q", len(payload))), _segment(0xC2, size), _DC_TABLE, _scan([1, 2, 3], 0, 0, 0, 0), _packed(_dc_bits(blocks[:, :, 0])), _FIRST_TABLE]
+        for c, plane in enumerate(planes, 1):
+            parts += [_scan([c], 1, 63, 0, AL), ((plane >> AL) + (256 >> AL)).astype(np.uint8).tobytes()]
         parts.append(_EOB_TABLE)
         for al in range(AL - 1, -1, -1):
-            for c in range(3):
-                parts += [_scan([c + 1], 1, 63, al + 1, al), _refinement(((units[:, c, 1:] >> al) & 1).reshape(-1), blocks)]
+            for c, plane in enumerate(planes, 1):
+                parts += [_scan([c], 1, 63, al + 1, al), _refinement(((plane >> al) & 1).reshape(-1), len(plane))]
         out.append(b"".join([*parts, b"\xff\xd9"]))
     return out
 
@@ -244,15 +247,20 @@ class Image:
     def _interleaved(self, parts, first, last, piece, ah, al) -> None:
         """DC of several components: a block after the other in each unit."""
         tables = [self.tables.get(t >> 4) for _, t in parts]
-        plain = all(c["h"] == c["v"] == 1 for c, _ in parts)
-        if not ah and plain and all(t and t.only and t.only[0] for t in tables) and len({t.only for t in tables}) == 1:
+        if not ah and all(t and t.only and t.only[0] for t in tables) and len({t.only for t in tables}) == 1:
             size, code = tables[0].only
-            width, n = size + code, (last - first) * len(parts)
+            each = sum(c["h"] * c["v"] for c, _ in parts)
+            width, n = size + code, (last - first) * each
             bits = np.unpackbits(np.frombuffer(piece, np.uint8), count=n * width).reshape(n, width)[:, code:]
             v = bits.astype(np.int32) @ (1 << np.arange(size - 1, -1, -1, dtype=np.int32))
-            v = np.where(bits[:, 0], v, v - (1 << size) + 1).reshape(-1, len(parts))
-            for k, (c, _) in enumerate(parts):
-                c["coef"].reshape(-1, 64)[first:last, 0] = np.cumsum(v[:, k]) << al
+            v = np.where(bits[:, 0], v, v - (1 << size) + 1).reshape(-1, each)
+            (my, mx), at = np.divmod(np.arange(first, last), self.mcus[1]), 0
+            for c, _ in parts:
+                many = c["h"] * c["v"]
+                dc = np.cumsum(v[:, at : at + many]).reshape(-1, many) << al
+                for b in range(many):
+                    c["coef"][my * c["v"] + b // c["h"], mx * c["h"] + b % c["h"], 0] = dc[:, b]
+                at += many
             return
         r, last_dc = _Reader(piece), [0] * len(parts)
         for m in range(first, last):
@@ -379,36 +387,59 @@ def rgb_of(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, 255).astype(np.uint8)
 
 
+def _grouped(image: Image, c: dict) -> np.ndarray:
+    """A component's coefficients group by group: (groups, blocks down, blocks across, 64)."""
+    rows, columns = image.mcus
+    return c["coef"].reshape(rows, c["v"], columns, c["h"], 64).swapaxes(1, 2).reshape(-1, c["v"], c["h"], 64)
+
+
+def _kind(image: Image) -> tuple:
+    """What images must have in common to be transformed together: sampling factors and quantisation."""
+    return tuple((c["h"], c["v"], image.quant[c["q"]].tobytes()) for c in image.components.values())
+
+
+def tensors_of(images: list[Image]) -> list[np.ndarray]:
+    """The (height, width, 3) RGB tensor of each image; one component is grey. Blocks of neighbours of one kind are transformed together; chroma samples are repeated up to full resolution."""
+    out: list[np.ndarray] = []
+    for _, some in itertools.groupby(images, _kind):
+        some = list(some)
+        one, planes = some[0], []
+        for k, c in enumerate(one.components.values()):
+            v, h = c["v"], c["h"]
+            coef = np.concatenate([_grouped(i, list(i.components.values())[k]) for i in some])
+            plane = samples(coef.reshape(-1, 64), one.quant[c["q"]]).reshape(-1, v, h, 8, 8).swapaxes(2, 3).reshape(-1, v * 8, h * 8)
+            planes.append(plane.repeat(one.v // v, 1).repeat(one.h // h, 2))
+        groups = rgb_of(*planes) if len(planes) == 3 else np.repeat(planes[0][..., None], 3, -1)
+        at = 0
+        for i in some:
+            rows, columns = i.mcus
+            mine = groups[at : at + rows * columns].reshape(rows, columns, 8 * i.v, 8 * i.h, 3).swapaxes(1, 2)
+            out.append(mine.reshape(rows * 8 * i.v, columns * 8 * i.h, 3)[: i.height, : i.width])
+            at += rows * columns
+    return out
+
+
 def decode(data: bytes) -> np.ndarray:
     """(height, width, 3) RGB tensor of a progressive JPEG; one component is grey."""
-    image = Image(data)
-    planes = []
-    for c in image.components.values():
-        rows, columns, _ = c["coef"].shape
-        plane = samples(c["coef"].reshape(-1, 64), image.quant[c["q"]]).reshape(rows, columns, 8, 8).swapaxes(1, 2).reshape(rows * 8, columns * 8)
-        planes.append(plane.repeat(image.v // c["v"], 0).repeat(image.h // c["h"], 1)[: image.height, : image.width])
-    return rgb_of(*planes) if len(planes) == 3 else np.repeat(planes[0][..., None], 3, -1)
+    return tensors_of([Image(data)])[0]
 
 
 def payload_of(image: Image) -> bytes:
     """The payload that encode_payloads() has stored."""
     n = struct.unpack(">Q", image.comment)[0]
-    out = np.empty((n // UNIT, 3, 64), np.uint8)
-    for c, comp in enumerate(image.components.values()):
-        coef = comp["coef"].reshape(-1, 64)[: n // UNIT]
-        out[:, c, 0] = np.abs(np.diff(coef[:, 0], prepend=0)) - 256
-        out[:, c, 1:] = coef[:, ZIGZAG[1:]] - 256
-    return out.tobytes()
+    out, at = np.empty((image.mcus[0] * image.mcus[1], sum(GROUP), 64), np.uint8), 0
+    for comp in image.components.values():
+        many, coef = comp["h"] * comp["v"], _grouped(image, comp).reshape(-1, 64)
+        out[:, at : at + many, 0] = (np.abs(np.diff(coef[:, 0], prepend=0)) - 256).reshape(-1, many)
+        out[:, at : at + many, 1:] = (coef[:, ZIGZAG[1:]] - 256).reshape(-1, many, 63)
+        at += many
+    return out.tobytes()[:n]
 
 
-def features(images: list[Image]) -> list[str]:
-    """Width, height and the mean red, green and blue in thousandths of each image whose components have no subsampling, from its RGB tensor; blocks of all images are transformed together."""
-    sizes = [c["coef"].shape[0] * c["coef"].shape[1] for i in images for c in list(i.components.values())[:1]]
-    planes = [samples(np.concatenate([list(i.components.values())[c]["coef"].reshape(-1, 64) for i in images]), images[0].quant[0]) for c in range(3)]
-    sums = rgb_of(*planes).reshape(-1, 64, 3).sum(1, dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    totals = np.add.reduceat(sums, starts)
-    return [f"{i.width}x{i.height}:" + ",".join(str(int(x) * 1000 // (n * 64)) for x in t) for i, n, t in zip(images, sizes, totals)]
+def feature_of(rgb: np.ndarray) -> str:
+    """Width, height and the mean red, green and blue of a tensor, in thousandths."""
+    height, width, _ = rgb.shape
+    return f"{width}x{height}:" + ",".join(str(int(x) * 1000 // (height * width)) for x in rgb.sum((0, 1), dtype=np.int64))
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -436,33 +467,38 @@ def _runs(items: list[bytes], most: int = 1 << 20):
 
 
 def tensors(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, height, width, rgb) of a column of progressive JPEGs: full-resolution RGB tensors as bytes, row by row. A null image has null values; one that can't be read is an error."""
+    """(doc_id, height, width, rgb) of a column of progressive JPEGs: full-resolution RGB tensors as bytes, row by row. A null or empty image has null values; one that can't be read is an error. Repeated rows stay; an empty table gives no rows; other columns of df are not read."""
     bounded_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
-            got = [None if x is None else decode(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([None if x is None else x.shape[k] for x in got], pa.int32()) for k in (0, 1)], pa.array([None if x is None else x.tobytes() for x in got], pa.binary())], names=["doc_id", "height", "width", "rgb"])
+            media = [x or b"" for x in batch.column(1).to_pylist()]
+            for start, some in _runs(media):
+                found = iter(tensors_of([Image(m) for m in some if m]))
+                got = [next(found) if m else None for m in some]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(some)), *[pa.array([None if x is None else x.shape[k] for x in got], pa.int32()) for k in (0, 1)], pa.array([None if x is None else x.tobytes() for x in got], pa.binary())], names=["doc_id", "height", "width", "rgb"]
+                )
 
     return df.select(id_col, media_col).mapInArrow(thrifty(run), "doc_id long, height int, width int, rgb binary")
 
 
 def read_back(df: DataFrame) -> DataFrame:
-    """The digests of op9 from the media that store() has made."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """The digests of op9 from the media that store() has made: rgb_crc32 is that of the full-resolution RGB tensor, feature is computed from it. Rows are those of store(); equal media have equal values."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "rgb_crc32"]
 
     def run(batches):
         for batch in batches:
             media = [x.as_py() for x in batch.column(2)]
             for start, some in _runs(media):
                 images = [Image(m) for m in some]
-                payloads = [payload_of(i) for i in images]
+                payloads, rgb = [payload_of(i) for i in images], tensors_of(images)
                 sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(some)), batch.column(1).slice(start, len(some)), pa.array(map(len, payloads), pa.int64()), sha(payloads), pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), pa.array(map(len, some), pa.int64()), sha(some), pa.array(features(images))], names=names
+                    [batch.column(0).slice(start, len(some)), batch.column(1).slice(start, len(some)), pa.array(map(len, payloads), pa.int64()), sha(payloads), pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), pa.array(map(len, some), pa.int64()), sha(some), pa.array(map(feature_of, rgb), pa.string()), pa.array([zlib.crc32(np.ascontiguousarray(x)) for x in rgb], pa.int64())], names=names
                 )
 
-    return df.mapInArrow(thrifty(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.mapInArrow(thrifty(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, rgb_crc32 long")
 
 
 def op9_progressive_jpeg(spark, sf_dir):

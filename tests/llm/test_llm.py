@@ -503,8 +503,8 @@ def test_jpeg(docs):
     assert got[1].feature == got[3].feature
     media = jpeg.store(docs).where("doc_id = 8").first().media
     rgb = jpeg.decode(bytes(media))
-    means = ",".join(str(int(x) * 1000 // (rgb.shape[0] * 8)) for x in rgb.sum((0, 1), dtype=np.int64))
-    assert got[8].feature == f"8x{rgb.shape[0]}:{means}"
+    means = ",".join(str(int(x) * 1000 // (rgb.shape[0] * rgb.shape[1])) for x in rgb.sum((0, 1), dtype=np.int64))
+    assert got[8].feature == f"{rgb.shape[1]}x{rgb.shape[0]}:{means}" and got[8].rgb_crc32 == zlib.crc32(rgb.tobytes())
     big = jpeg.pad(bytes(range(256)) * 7000)  # more blocks than an image is high
     assert jpeg.payload_of(jpeg.Image(jpeg.encode_payloads([big])[0])) == big
 
