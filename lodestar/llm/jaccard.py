@@ -4,12 +4,13 @@
 2. Candidates, without loss. Sets are put into size bands. In a band, tokens are dealt by hash into so many parts that two sets which link must agree in more parts than either leaves out: sets of at most U tokens with Jaccard similarity num/den or more differ in at most d = 2U(den-num)/(den+num) tokens, so of d + 1 + e parts they agree in at least e + 1. A set leaves out its sparsest parts, e at most, by a bound on their
    size that keeps all parts as full; the fullest part in which two sets agree is then kept by both. A key is a part's content. A set near its band's end is also dealt by the next band's rule, so pairs across two bands meet too. Keys are packed into arrays, a row for each bucket of keys and task.
    The classes under one key are a block; blocks with the same classes are one. In a block, two sets whose sketches differ by more than linked sets can differ are no candidates; the rest is joined from class to class, each looked at once against those not reached yet. So a passage that many documents share makes no candidates of them.
-3. Links. Each candidate group's texts (one per class) come together; a signature tree finds all pairs that link, or, where only groups are asked for, as many as join them. A group too large for one task is dealt into chunks, each pair of chunks is one task, and what they link is merged.
+3. Links. Each candidate group's texts (one per class) come together; a signature tree finds all pairs that link, or, where only groups are asked for, as many as join them. A group too large for one task is dealt into bands of size, and bands into chunks; only chunks of one band or of two that touch can have links between them, and each such pair of chunks is one task. What they link is merged.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -261,16 +262,25 @@ def _dealt(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str
     classes = docs.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.max("n_bytes").alias("n_bytes"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
     blocks = written(blocks_of(df, n, num, den, buckets, text_col), "blocks")
     near = components(candidate_edges(blocks, classes.select("cls", "n_shingles", "sketch"), num, den))
-    members = near.join(classes, near["v"] == classes["cls"]).select("root", "cls", "rep", "rows", "n_bytes")
+    # sizes of linked sets differ by den / num at most, so by less than one band; the bands of a group are few
+    band = F.floor(F.log("n_shingles") / (1.001 * max(math.log(den / num), 1e-6))).cast("int")
+    members = near.join(classes, near["v"] == classes["cls"]).select("root", "cls", "rep", "rows", "n_bytes", band.alias("band"))
     members = written(members, "members")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / group_texts), F.ceil(F.sum("n_bytes") / group_bytes)).cast("int").alias("chunks"))
+    needed = F.greatest(F.ceil(F.sum("texts") / group_texts), F.ceil(F.sum("n_bytes") / group_bytes))
+    bands = members.groupBy("root", "band").agg(F.count(F.lit(1)).alias("texts"), F.sum("n_bytes").alias("n_bytes"))
+    chunks = F.greatest(F.ceil(F.col("texts") / group_texts), F.ceil(F.col("n_bytes") / group_bytes)).cast("int")
+    sizes = bands.withColumn("chunks", chunks).groupBy("root").agg((needed > 1).alias("large"), F.map_from_entries(F.collect_list(F.struct("band", "chunks"))).alias("chunks"))
     members = written(members.join(sizes, "root"), "members")
     ids = members.select("rep").distinct()
     texts = df.select(F.col(id_col).alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if members.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(ids), "rep", "left_semi")
-    chunk = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
-    tasks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(F.col("chunk"), k).alias("i"), F.greatest(F.col("chunk"), k).alias("j")))
+    name = lambda band, k: F.shiftleft(band.cast("long"), 32) + k
+    chunk = F.when(F.col("large"), name(F.col("band"), F.pmod(F.xxhash64("cls"), F.col("chunks")[F.col("band")]))).otherwise(F.lit(0).cast("long"))
+    # chunks of the bands that a text's links can lead to
+    of_band = lambda b: F.when(F.col("chunks")[b].isNotNull(), F.transform(F.sequence(F.lit(0), F.col("chunks")[b] - 1), lambda k: name(b, k))).otherwise(F.array().cast("array<long>"))
+    others = F.when(F.col("large"), F.flatten(F.transform(F.array(*[F.col("band") + k for k in (-1, 0, 1)]), of_band))).otherwise(F.array(F.lit(0).cast("long")))
+    tasks = F.transform(others, lambda k: F.struct(F.least(F.col("chunk"), k).alias("i"), F.greatest(F.col("chunk"), k).alias("j")))
     dealt = members.withColumn("chunk", chunk).withColumn("task", F.explode(tasks)).join(texts, "rep").select("root", "task", "chunk", "cls", "rows", "text")
     return docs, classes, sizes, dealt
 
@@ -291,7 +301,7 @@ def document_links(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     """
     docs, classes, sizes, dealt = _dealt(df, n, num, den, id_col, text_col, group_texts, group_bytes)
     links = written(dealt.groupBy("root", "task").applyInPandas(thrifty_group(_verify(n, num, den, count)), "a long, b long, linked long"), "links")
-    if sizes.where("chunks > 1").isEmpty():
+    if sizes.where("large").isEmpty():
         found = links.select(F.col("a").alias("v"), F.col("b").alias("root"))
     else:
         found = components(links)
