@@ -58,22 +58,27 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def search_text(chunks: DataFrame, queries: DataFrame, k: int = 5, method: str = "bm25", k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The k best chunks of each query.
+def search_text(chunks: DataFrame, queries: DataFrame, k: int = 5, method: str = "bm25", k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", tenant_col: str | None = None) -> DataFrame:
+    """The k best chunks of each query. With tenant_col, a column of chunks and queries, a query finds chunks of its own tenant only; statistics are over all tenants.
 
     Texts are read and tokenised once. Of a text's tokens those stay that a query has, and one empty term for the text itself; they are counted before the one exchange, which both the statistics (a row for each query term and one for the corpus) and the scores are made from. No term's postings come together in one place: rows are scored against the statistics, which grow with the queries only.
     """
     wanted = query_terms(queries)
     kept = wanted.select("term").distinct().unionByName(chunks.sparkSession.createDataFrame([("",)], "term string"))
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    found = tokens.select("chunk_id", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term")).join(F.broadcast(kept), "term", "left_semi")
-    rows = found.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    own = [F.col(tenant_col).alias("_tenant")] if tenant_col else []
+    tokens = chunks.select(F.col(id_col).alias("chunk_id"), *own, tokenize(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    of_row = ["chunk_id", *(["_tenant"] if own else []), "dl", "term"]
+    found = tokens.withColumn("dl", F.size("w")).withColumn("term", F.explode(F.concat("w", F.array(F.lit(""))))).select(*of_row).join(F.broadcast(kept), "term", "left_semi")
+    rows = found.groupBy(*of_row).agg(F.count(F.lit(1)).alias("tf"))
     # all columns are used on both ways, so both read one exchange
     per = rows.groupBy("term").agg(F.count("chunk_id").alias("df"), F.sum("dl").alias("dl_sum"), F.sum("tf").alias("tf_sum")).where("tf_sum >= 0")
     corpus = per.where("term = ''").select(F.col("df").alias("n"), (F.col("dl_sum") / F.col("df")).alias("avgdl"))
     known = per.where("term <> ''").select("term", "df").crossJoin(F.broadcast(corpus)).join(F.broadcast(wanted), "term")
     weight = bm25_weight(F.lit(k1), F.lit(b)) if method == "bm25" else F.col("tf") / F.col("dl") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    hits = rows.where("term <> ''").join(F.broadcast(known), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight * F.col("qtf")), 6).alias("score"))
+    matched = rows.where("term <> ''").join(F.broadcast(known), "term")
+    if own:
+        matched = matched.join(F.broadcast(queries.select("query_id", *own).distinct()), ["query_id", "_tenant"])
+    hits = matched.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight * F.col("qtf")), 6).alias("score"))
     return top_k(hits, k).select("query_id", "chunk_id", "score", "rank")
 
 

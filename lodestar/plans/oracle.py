@@ -99,6 +99,7 @@ ORACLE: dict[str, str] = {
     "bm25_postings": f"WITH {_TF} SELECT term, chunk_id, tf, round({_bm25()}, 6) AS weight FROM tf JOIN df USING (term), s",
     "tfidf_search": f"{_search(_TFIDF, 5)} SELECT * FROM hits",
     "bm25_search": f"{_search(_bm25(), 5)} SELECT * FROM hits",
+    "tenant_bm25": f"WITH {_Q}, {_TF}, {_QT}, h AS (SELECT query_id, source, chunk_id, round(sum({_bm25()} * qtf), 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term) JOIN documents ON doc_id = chunk_id, s GROUP BY ALL) SELECT query_id || '/' || source AS query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS rank FROM h QUALIFY rank <= 5",
     "bm25_param_grid": f"WITH {_Q}, {_TF}, {_QT}, grid AS (SELECT k1, b FROM (VALUES (0.5::DOUBLE), (1.2), (1.5), (2.0)) a(k1), (VALUES (0.0::DOUBLE), (0.5), (0.75)) c(b)), h AS (SELECT k1, b, query_id, chunk_id, round(sum({_bm25('k1', 'b')} * qtf), 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), s, grid GROUP BY ALL) SELECT k1, b, query_id, chunk_id, score FROM h QUALIFY row_number() OVER (PARTITION BY k1, b, query_id ORDER BY score DESC, chunk_id) = 1",
     "index_stats": f"WITH {_TF} SELECT n AS n_docs, (SELECT count(*) FROM df) AS vocab, (SELECT count(*) FROM tf) AS postings, round(avgdl, 1) AS avgdl FROM s",
     "dense_topk": _dense(),

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunkers as C
+from ..operators import embed as E
 from ..operators import index as I
+from ..operators import loops as L
+from ..operators import normalize as N
+from ..operators import raptor
 from ..operators import retrieve as R
 from ..operators import rewrite as Q
 from ..sources import readers as S
@@ -153,6 +157,67 @@ def multi_hop_merge(spark, sf):
     return R.multi_hop(vectors(spark, sf).drop("cell"), vector_queries(spark, sf)).select("query_id", "chunk_id", "score", "hop", "rank")
 
 
+def tenant_bm25(spark, sf):
+    """Each stated query asked by each tenant, who finds documents of its own source only."""
+    d = docs(spark, sf)
+    asked = text_queries(spark).crossJoin(d.select("source").distinct())
+    asked = asked.select(F.concat_ws("/", "query_id", "source").alias("query_id"), "query", "source")
+    return _ranked(I.search_text(d, asked, K, tenant_col="source"))
+
+
+def _search(spark, sf):
+    """Text search as a function of queries and k, with the texts of what it finds."""
+    texts = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "lang")
+    return lambda queries, k: I.search_text(docs(spark, sf), queries, k).join(texts, "chunk_id")
+
+
+def _shares_words(prompt):
+    """The stand-in for a model that judges a passage: YES if it has half of the question's words."""
+    question, passage = F.regexp_extract(prompt, r"Question: (.*)", 1), F.regexp_extract(prompt, r"(?s)Passage: (.*)", 1)
+    return F.when(T.contains_terms_share(question, passage, R.STOP) >= 0.5, F.lit("YES")).otherwise(F.lit("NO"))
+
+
+def corrective_loop(spark, sf):
+    """The stand-in calls no passages correct, and takes the last word off a query that it writes anew."""
+    unsure = lambda prompt: F.when(F.length(prompt) > 0, F.lit("AMBIGUOUS"))
+    shorter = lambda prompt: F.regexp_replace(F.regexp_extract(prompt, r"Query: (.*)", 1), r"\s+\S+\s*$", "")
+    return L.corrective(text_queries(spark), _search(spark, sf), unsure, _shares_words, shorter, K).select("query_id", "query", "chunk_id", "score", "rank", "crag_action", "crag_attempt")
+
+
+def self_checking(spark, sf):
+    found = L.self_checking(text_queries(spark), _search(spark, sf), _shares_words, lambda p: F.when(F.contains(p, F.lit("license")), F.lit("Yes.")).otherwise(F.lit("No")), K)
+    return found.select("query_id", "chunk_id", "rank", "relevant", "fallback")
+
+
+def multi_hop_text(spark, sf):
+    """The stand-in asks for the first words of what was found last."""
+    follow = lambda p: F.regexp_extract(p, r"(?s)Found so far:\n(?:.*\n---\n)?((?:\S+\s+){1,6})", 1)
+    return L.multi_hop_search(text_queries(spark), _search(spark, sf), follow).select("query_id", "chunk_id", "score", "hop", "rank")
+
+
+def agentic_steps(spark, sf):
+    """The stand-in searches, then searches German texts, then ends."""
+    n = lambda p: F.size(F.split(p, "Observation:"))
+    plan = lambda p: F.when(n(p) == 1, F.lit("Thought: look\nAction: keyword_search()")).when(n(p) == 2, F.lit("Thought: more\nAction: filter_search(der die und, de)")).otherwise(F.lit("Thought: done\nAction: FINISH"))
+    search = _search(spark, sf)
+    hits, _ = L.agentic(text_queries(spark), plan, {"keyword_search": L.search_tool(search), "filter_search": L.filtered_tool(search, "lang")})
+    return hits.select("query_id", "chunk_id", "score", "agentic_step", "agentic_action", "rank")
+
+
+def raptor_build(spark, sf):
+    """The tree over all documents' own vectors, with lead sentences as summaries."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("source").alias("tenant_id"), F.col("text").alias("content"))
+    nodes, _ = raptor.build_tree(E.embed_chunks(d, R.hash_embed, out="vec"), R.hash_embed)
+    return nodes.select("chunk_id", "doc_id", "tenant_id", "level", "cluster", "n_members", F.length("content").alias("n_chars"))
+
+
+def language_gate(spark, sf):
+    """Languages of all documents as if none were known, by a model of the documents that have one."""
+    d = docs(spark, sf)
+    model = N.LanguageModel.fit(d)
+    return N.normalize_documents(d.withColumn("lang", F.lit("unknown")), model).select("doc_id", "lang", "char_count", "word_count", "line_count")
+
+
 def _candidates(spark, sf, k=10):
     """The text search's hits with their texts; hits are few (queries times k)."""
     hits = I.search_text(docs(spark, sf), text_queries(spark), k)
@@ -467,7 +532,7 @@ def md_sections(spark, sf):
 
 
 QUERIES = {
-    "tokenize": tokenize, "tfidf_postings": tfidf_postings, "tfidf_search": tfidf_search, "bm25_postings": bm25_postings, "bm25_search": bm25_search, "bm25_param_grid": bm25_param_grid, "index_stats": index_stats,
+    "tokenize": tokenize, "tfidf_postings": tfidf_postings, "tfidf_search": tfidf_search, "bm25_postings": bm25_postings, "bm25_search": bm25_search, "tenant_bm25": tenant_bm25, "bm25_param_grid": bm25_param_grid, "index_stats": index_stats,
     "dense_topk": _dense("ip"), "dense_cosine": _dense("cosine"), "dense_l2": _dense("l2"), "tenant_topk": tenant_topk, "dense_topk_all": _dense_all("ip"), "dense_cosine_all": _dense_all("cosine"), "dense_l2_all": _dense_all("l2"), "tenant_topk_all": tenant_topk_all, "vec_normalize": vec_normalize, "vec_norm_audit": vec_norm_audit, "hybrid_rrf": _hybrid(1.0, 1.0), "hybrid_rrf_weighted": _hybrid(2.0, 0.5),
     "filtered_post": _filtered("post"), "filtered_pre": _filtered("pre"), "filtered_boost": _filtered("boost"), "metadata_filter": metadata_filter, "multi_query_rr": multi_query_rr, "multi_hop_merge": multi_hop_merge, "rerank_overlap": rerank_overlap, "rerank_listwise": rerank_listwise,
     "parse_score": parse_score, "parse_ranking": parse_ranking, "parse_variants": parse_variants, "parse_react": parse_react, "rewrite_fallback": rewrite_fallback, "build_prompt": build_prompt, "build_prompt_whole": build_prompt_whole,
@@ -476,6 +541,7 @@ QUERIES = {
     "csv_row_template": csv_row_template, "csv_file_table": csv_file_table, "transcript_segments": lambda s, d: S.transcript_segments(_segments(s, d)), "transcript_full": lambda s, d: S.transcript_full(_segments(s, d)), "url_video_id": url_video_id, "route_source": route_source, "html_title": html_title, "html_extract": html_extract,
     "is_relevant": is_relevant, "eval_recall_mrr": eval_recall_mrr, "eval_by_source": eval_by_source, "leaderboard": leaderboard, "faithfulness_4gram": faithfulness_4gram, "cache_key": cache_key, "cache_misses": cache_misses, "cache_stats": cache_stats, "index_upsert": index_upsert, "index_delete": index_delete,
     "ivf_centroids": ivf_centroids, "ivf_search": ivf_search, "ivf_search_all": _trained(*IVF), "ann_lsh": _trained(*ANN), "raptor_level1": raptor_level1, "raptor_tree": raptor_tree, "raptor_stats": raptor_stats, "raptor_search": raptor_search, "crag_overlap": crag_overlap, "crag_route": crag_route, "self_rag_filter": self_rag_filter, "agentic_union": agentic_union,
+    "corrective_loop": corrective_loop, "self_checking": self_checking, "multi_hop_text": multi_hop_text, "agentic_steps": agentic_steps, "raptor_build": raptor_build, "language_gate": language_gate,
     "method_diff": method_diff, "rewrite_search": rewrite_search, "embedding_cost": embedding_cost,
     "chunk_semantic": chunk_semantic, "embed_prefix": embed_prefix, "embed_batches": embed_batches, "md_sections": md_sections,
 }
