@@ -130,11 +130,11 @@ class DecisionList:
 
 
 def _thresholds(values: list[float], most: int = 24) -> list[float]:
-    """Between neighbouring quantiles of the rejected rows' values."""
+    """Between neighbouring quantiles of the rejected rows' values, at both ends, and below all of them."""
     v = sorted(set(values))
     if len(v) > most:
         v = [v[round(i * (len(v) - 1) / (most - 1))] for i in range(most)]
-    return sorted({float(f"{(a + b) / 2:.6g}") for a, b in zip(v, v[1:])} | ({v[0], v[-1]} if v else set()))
+    return sorted({float(f"{(a + b) / 2:.6g}") for a, b in zip(v, v[1:])} | ({v[0] - 1e-9, v[0], v[-1]} if v else set()))
 
 
 def _gain(p: int, n: int, p0: int, n0: int) -> float:
@@ -160,6 +160,11 @@ def _grow(bad: list[dict], good: list[dict], without: set[tuple[str, bool]], mos
                         best, at = gain, (f, above, t)
         if at is None:
             break
+        f, above, t = at
+        # the middle of the gap that the threshold lies in: the same rows are told apart, and new ones near either side fall with their neighbours
+        values = [r[f] for rows in (bad, good) for r in rows]
+        low, high = max((v for v in values if v <= t), default=t), min((v for v in values if v > t), default=t)
+        at = (f, above, (low + high) / 2)
         rule.conditions.append(at)
         bad, good = ([r for r in rows if Rule([at]).meets(r)] for rows in (bad, good))
     return rule

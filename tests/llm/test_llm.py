@@ -636,3 +636,9 @@ def test_transducer_starts_anew():
         assert token_counts.count_texts(words, path) == token_counts.count_texts(words, path) == want
     finally:
         t.keep = keep
+
+
+def test_thresholds_lie_in_the_middle_of_a_gap():
+    rows = [{f: 0.0 for f in quality.FEATURES} | {"symbols_per_word": 0.5 + i % 7 / 10 if i % 2 else 0.0, "bad": bool(i % 2), "fold": i % 3} for i in range(300)]
+    (rule,) = quality.learn(rows).rules
+    assert rule.conditions == [("symbols_per_word", True, 0.25)] and not rule.meets({"symbols_per_word": 0.2}) and rule.meets({"symbols_per_word": 0.3})
