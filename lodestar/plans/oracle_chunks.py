@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import _CENT, _SP, ORACLE, _dot, _strip, _words
+from .oracle import _CENT, _SP, _dot, _strip, _words
 
 _BLANK = rf"regexp_full_match(p, '[\n{_SP}]*')"
 _SEPARATORS = ("chr(10) || chr(10)", "chr(10)", "'. '", "' '")
@@ -101,6 +101,3 @@ CHUNK_ORACLE = {
         "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hit QUALIFY rank <= 5"
     ),
 }
-
-#: The SQL of all of the package's own queries that have one.
-ALL_SQL = ORACLE | CHUNK_ORACLE
