@@ -642,3 +642,32 @@ def test_thresholds_lie_in_the_middle_of_a_gap():
     rows = [{f: 0.0 for f in quality.FEATURES} | {"symbols_per_word": 0.5 + i % 7 / 10 if i % 2 else 0.0, "bad": bool(i % 2), "fold": i % 3} for i in range(300)]
     (rule,) = quality.learn(rows).rules
     assert rule.conditions == [("symbols_per_word", True, 0.25)] and not rule.meets({"symbols_per_word": 0.2}) and rule.meets({"symbols_per_word": 0.3})
+
+
+@pytest.mark.parametrize("name", ["op4_ngram_jaccard", "op6_warc"])
+def test_sql(spark, name):
+    """Whole results against their SQL."""
+    import duckdb
+
+    from lodestar.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    got = queries.queries()[name](spark, folder)
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = db.sql(queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got.select(*want.columns)) == sorted(want.fetchall(), key=str)
+
+
+def test_sql_on_odd_rows(spark, docs, tmp_path):
+    """The links' SQL agrees on nulls, empty and very long texts and repeated rows."""
+    import duckdb
+
+    from lodestar.llm.oracle import ORACLE
+
+    documents = docs.select("doc_id", "text").toPandas()  # noqa: F841
+    db = duckdb.connect()
+    db.register("documents", documents)
+    assert rows_of(jaccard.document_links(docs, n=4, num=85, den=100)) == sorted(db.sql(ORACLE["op4_ngram_jaccard"]).fetchall(), key=str)
