@@ -52,6 +52,12 @@ def text_of(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     return df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col), *more)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1 and so on, and the new name of each; so columns of any names stand beside an operator's own, which start with an underscore."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
 def by_bytes(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
     """Runs of texts of about `most` bytes; a longer text stands alone."""
     run, size = [], 0

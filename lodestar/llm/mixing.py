@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, numbered, table, written
 
 #: Source weights, repeating in the order of the sources.
 WEIGHTS = (3, 1, 2)
@@ -164,20 +164,27 @@ def per_document(sizes: DataFrame, goals: DataFrame, blocks: DataFrame) -> DataF
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"), "first_shard", "last_shard")
 
 
-def mixed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 23, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
-    """df's columns and (_shard, _order): a row for each run of words that one shard takes of a document in one pass, its text cut to those words as the document has them, white space and all: a document's runs of a pass, joined, are what the pass took of it.
-
-    Nulls: a row without words or with a null text is in no mix; a null source is a source. Equal rows are rows of their own. An empty table gives no rows. df is read twice, so it has to be a stored table or cheap; its columns may have any names but _uid, _first, _words, _shard and _order.
-    """
-    marked = written(df.withColumn("_uid", F.monotonically_increasing_id()), "mix-documents")
-    sizes = written(marked.select(F.col("_uid").alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
+def _runs(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+    """mixed_runs() with df's columns numbered."""
+    plain, at = numbered(df)
+    text = at[text_col]
+    marked = written(plain.withColumn("_uid", F.monotonically_increasing_id()), "mix-documents")
+    sizes = written(marked.select(F.col("_uid").alias("uid"), F.col(at[id_col]).alias("doc_id"), F.col(at[source_col]).cast("string").alias("source"), n_words(F.col(text)).alias("size")), "mix-sizes")
     _, blocks = mix(sizes, seed=seed, block=block, depth=depth)
     runs = blocks.groupBy(F.col("uid").alias("_uid"), "pass", F.col("shard").alias("_shard"), F.col("order_key").alias("_order")).agg(F.min("first_word").cast("int").alias("_first"), F.sum("words").cast("int").alias("_words"))
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({_PIECE})"), F.lit(1))
-    whole = (F.col("_first") == 0) & (F.col("_words") == n_words(F.col(text_col)))
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"({_PIECE})"), F.lit(1))
+    whole = (F.col("_first") == 0) & (F.col("_words") == n_words(F.col(text)))
     # the white space at a text's end goes with its last word
     cut = F.transform(F.array(pieces), lambda p: F.array_join(F.slice(p, F.col("_first") + 1, F.when(F.col("_first") + F.col("_words") + 1 == F.size(p), F.col("_words") + 1).otherwise(F.col("_words"))), ""))[0]
-    return marked.join(runs, "_uid").withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut)).select(*df.columns, "_shard", "_order")
+    return marked.join(runs, "_uid").withColumn(text, F.when(whole, F.col(text)).otherwise(cut)).select(*plain.columns, "_shard", "_order")
+
+
+def mixed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 23, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+    """df's columns and (_shard, _order): a row for each run of words that one shard takes of a document in one pass, its text cut to those words as the document has them, white space and all: a document's runs of a pass, joined, are what the pass took of it.
+
+    Nulls: a row without words or with a null text is in no mix; a null source is a source. Equal rows are rows of their own. An empty table gives no rows. df is read twice, so it has to be a stored table or cheap; its columns may have any names but _shard and _order.
+    """
+    return _runs(df, id_col, text_col, source_col, seed, block, depth).toDF(*df.columns, "_shard", "_order")
 
 
 def in_order(runs: DataFrame) -> DataFrame:
@@ -186,8 +193,9 @@ def in_order(runs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 23) -> DataFrame:
-    """The mix with df's columns, each task's rows in the order of shards and, within a shard, of order keys; see mixed_runs() for the rows, and for nulls, ties and empty tables."""
-    return in_order(mixed_runs(df, id_col, text_col, source_col, seed)).select(*df.columns)
+    """The mix with df's columns, each task's rows in the order of shards and, within a shard, of order keys; see mixed_runs() for the rows, and for nulls, ties and empty tables. df's columns may have any names."""
+    runs = in_order(_runs(df, id_col, text_col, source_col, seed))
+    return runs.drop("_shard", "_order").toDF(*df.columns)
 
 
 def write_mix(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 23) -> None:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_bytes, table, thrifty, written
+from .common import bounded_batches, by_bytes, numbered, table, thrifty, written
 from .wordhash import LETTERS_ONLY, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -253,13 +253,15 @@ def clean_text(text: str, terms: str | None = None) -> str:
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with its texts sanitised; same rows, same columns. A null text stays null; equal rows are edited alike; an empty table gives no rows. df's columns may have any names but _d, _k, _key and _terms. Entities are found again where they are replaced, so only rows with revealing terms are joined by key."""
+    """df with its texts sanitised; same rows, same columns. A null text stays null; equal rows are edited alike; an empty table gives no rows. df's columns may have any names. Entities are found again where they are replaced, so only rows with revealing terms are joined by key."""
     joined = F.array_join(F.transform("terms", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["action"])), ",")
     spans = written(find_spans(df, id_col, text_col).where("size(terms) > 0").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), joined.alias("_terms")).distinct(), "spans")
     key = F.udf(lambda t: None if t is None else _hash(t.encode()), "long", useArrow=True)
     edit = F.udf(lambda t, x: None if t is None else clean_text(t, x), "string", useArrow=True)
-    out = df.withColumn("_key", key(F.col(text_col))).join(spans, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    return out.withColumn(text_col, edit(text_col, "_terms")).select(*df.columns)
+    plain, at = numbered(df)
+    text = at[text_col]
+    out = plain.withColumn("_key", key(F.col(text))).join(spans, F.col(at[id_col]).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    return out.withColumn(text, edit(text, "_terms")).select(*plain.columns).toDF(*df.columns)
 
 
 def op7_pii(spark, sf_dir):

@@ -226,7 +226,7 @@ def filter_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = df.join(F.broadcast(sample.select(F.col("doc_id").alias(id_col))), id_col, "left_semi")
     rules = fit(written(statistics(known, id_col, text_col), "quality"), sample)
     # the row number keeps the statistics from being computed once for each condition that reads them
-    judged = df.select(F.struct(*df.columns).alias("_row"), statistics_of(F.col(text_col)).alias("_q"), F.monotonically_increasing_id().alias("_n")).select("_row", "_q.*", "_n")
+    judged = df.select(F.struct("*").alias("_row"), statistics_of(F.col(text_col)).alias("_q"), F.monotonically_increasing_id().alias("_n")).select("_row", "_q.*", "_n")
     return judge(judged, rules).where("kept").select("_row.*")
 
 

@@ -644,6 +644,21 @@ def test_thresholds_lie_in_the_middle_of_a_gap():
     assert rule.conditions == [("symbols_per_word", True, 0.25)] and not rule.meets({"symbols_per_word": 0.2}) and rule.meets({"symbols_per_word": 0.3})
 
 
+def test_stages_with_clashing_columns(spark, docs):
+    """Columns may be called what the stages call their own; a stage gives back the columns that it got, empty tables too."""
+    import corpus_pipeline
+
+    own = ["_uid", "_first", "_words", "_shard", "_order", "_piece", "_d", "_k", "_key", "_terms", "_row", "_q", "_n", "_id", "n_words", "rule", "kept", "c0", "rows", "uid", "a.b"]
+    table = docs.select("doc_id", "text", "source", F.lit("en").alias("lang"), F.length("text").cast("long").alias("n_chars"), *[F.lit(i).alias(c) for i, c in enumerate(own)])
+    for some in (table, table.where("false")):
+        some = corpus_pipeline.written(some, "test")
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, some, "/root/testdata/sf0.001")
+            rows = got.collect()
+            assert name == corpus_pipeline.STAGES[-1][0] or got.columns == some.columns
+            assert all(r["_id"] == own.index("_id") and r["a.b"] == own.index("a.b") for r in rows if "_id" in r)
+
+
 @pytest.mark.parametrize("name", ["op4_ngram_jaccard", "op6_warc"])
 def test_sql(spark, name):
     """Whole results against their SQL."""
