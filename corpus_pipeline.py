@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.bpe import encode_decode
-from lodestar.llm.common import table, written
+from lodestar.llm.common import numbered, table, written
 from lodestar.llm.jaccard import linked_groups
 from lodestar.llm.mixing import mixed_documents
 from lodestar.llm.pii import sanitise
@@ -24,12 +24,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
     gone = written(ids.where("not kept").select(F.col("doc_id").alias("_id")), "gone")
     again = written(ids.where("rows > 1").select(F.col("doc_id").alias("_id")), "repeated")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    kept = docs.join(gone, same, "left_anti")
+    plain, at = numbered(docs)
+    same = F.col(at["doc_id"]).eqNullSafe(F.col("_id"))
+    kept = plain.join(gone, same, "left_anti")
     if again.isEmpty():
-        return kept
+        return kept.toDF(*docs.columns)
     # only rows that share an id are compared as a whole
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = kept.join(again, same, "left_semi").dropDuplicates([at["doc_id"], at["text"]])
+    return kept.join(again, same, "left_anti").unionByName(once).toDF(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
