@@ -142,14 +142,20 @@ def rrf(legs: list[tuple[DataFrame, float]], k: int, constant: int = 60) -> Data
 
 def centroids(vectors: DataFrame, cell: str = "cell") -> DataFrame:
     """The mean vector of each cell, in the order of dimensions."""
-    flat = vectors.select(cell, F.posexplode("vec").alias("d", "x")).groupBy(cell, "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return flat.groupBy(cell).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("centroid"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
+    # one running mean for each cell and task: rows are neither exploded nor shuffled
+    mean = Summarizer.mean(array_to_vector(F.col("vec").cast("array<double>")))
+    return vectors.where("vec is not null").groupBy(cell).agg(mean.alias("_mean")).select(cell, vector_to_array("_mean").alias("centroid"))
 
-def search_ivf(vectors: DataFrame, queries: DataFrame, k: int = 5, nprobe: int = 3, cell: str = "cell") -> DataFrame:
-    """Search in the nprobe cells whose centroids are nearest to a query."""
+
+def search_ivf(vectors: DataFrame, queries: DataFrame, k: int = 5, nprobe: int = 3, cell: str = "cell", most_queries: int = 10_000) -> DataFrame:
+    """Search in the nprobe cells whose centroids are nearest to a query. The queries' cells are broadcast after a check of their number, so that no cell's vectors are shuffled; more queries are searched in blocks."""
+    if queries.limit(most_queries + 1).count() > most_queries:
+        raise ValueError(f"more than {most_queries} queries: search them in blocks")
     near = top_k(queries.crossJoin(F.broadcast(centroids(vectors, cell))).withColumn("score", F.round(dot(F.col("centroid"), F.col("qvec")), 6)), nprobe, id_col=cell).select("query_id", "qvec", cell)
-    scored = vectors.join(near, cell).withColumn("score", F.round(dot(F.col("vec"), F.col("qvec")), 6)).drop("vec", "qvec", cell)
+    scored = vectors.join(F.broadcast(near), cell).withColumn("score", F.round(dot(F.col("vec"), F.col("qvec")), 6)).drop("vec", "qvec", cell)
     return top_k(scored, k)
 
 
@@ -163,9 +169,10 @@ def kmeans_cells(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str = "version") -> DataFrame:
-    """The newest version of each key."""
-    both = old.unionByName(new)
-    return both.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(version)))).where("_n = 1").drop("_n")
+    """The newest version of each key; of one version, a row of `new` goes before one of `old`, and then the largest by its columns in order, so reruns agree."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    order = [F.desc(version), F.desc("_new"), *[F.desc(c) for c in old.columns if c not in (key, version)]]
+    return both.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n", "_new")
 
 
 def delete(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
